@@ -25,7 +25,9 @@ def letter_count(s: Column, letter: str) -> Column:
 
 
 def _weighted(s: Column, weights: dict[str, float]) -> Column:
-    return reduce(lambda a, b: a + b, [letter_count(s, a) * F.lit(w) for a, w in weights.items()])
+    """Sum over residues; the weights are tenths, so the sum is exact in whole numbers."""
+    tenths = reduce(lambda a, b: a + b, [letter_count(s, a) * F.lit(round(10 * w)) for a, w in weights.items()])
+    return tenths / F.lit(10.0)
 
 
 def aac(s: Column) -> Column:

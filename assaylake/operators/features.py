@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import molecule as M, sequence as S
 from ..registry import ALPHABET, FINGERPRINT_BITS
-from .joins import salted_join
+from .joins import attach_row, salted_join
 
 
 def _shares(df: DataFrame, tokens: Column, vocabulary: Sequence[str], output: str) -> DataFrame:
@@ -107,7 +107,7 @@ def fit_scaler(df: DataFrame, features: str, train: Column) -> DataFrame:
 
 def standardize(df: DataFrame, features: str, scaler: DataFrame, output: str = "scaled") -> DataFrame:
     """(x - mu) / sigma with a fitted one-row scaler."""
-    both = df.crossJoin(F.broadcast(scaler))
+    both = attach_row(df, scaler)
     centred = F.zip_with(F.col(features), F.col("mu"), lambda x, m: x.cast("double") - m)
     return both.withColumn(output, F.zip_with(centred, F.col("sigma"), lambda x, s: x / s)).drop("mu", "sigma")
 

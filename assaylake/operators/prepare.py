@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import registry as R
 from ..functions import clean as C
+from .joins import attach_row
 from .rank import exact_quantiles
 
 
@@ -39,6 +40,17 @@ def drop_accounting(flagged: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     return flagged.groupBy(*by).agg(*aggs) if list(by) else flagged.agg(*aggs)
 
 
+def same_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Joins two per-group results null-safely; without groups both are one row."""
+    if not by:
+        return attach_row(left, right)
+    renamed = right.withColumnsRenamed({c: f"__g_{i}" for i, c in enumerate(by)})
+    cond = F.lit(True)
+    for i, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__g_{i}"))
+    return left.join(renamed, cond, "left").drop(*[f"__g_{i}" for i in range(len(by))])
+
+
 def label_stats(df: DataFrame, label: str = "y", by: Iterable[str] = ()) -> DataFrame:
     """n, n_null, min, exact median and max of the raw label; NaN counts as missing."""
     by = list(by)
@@ -48,7 +60,7 @@ def label_stats(df: DataFrame, label: str = "y", by: Iterable[str] = ()) -> Data
             F.min("__y").alias("min"), F.max("__y").alias("max")]
     stats = rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
     medians = exact_quantiles(rows, "__y", {"median": 0.5}, by)
-    return stats.join(medians, by, "left") if by else stats.crossJoin(F.broadcast(medians))
+    return same_groups(stats, medians, by)
 
 
 def label_distribution(df: DataFrame, label: str = "y", by: Iterable[str] = ()) -> DataFrame:
@@ -57,10 +69,11 @@ def label_distribution(df: DataFrame, label: str = "y", by: Iterable[str] = ())
 
 def route_endpoints(rows: DataFrame, names=None, batch: bool = False, sequence: str = "sequence",
                     molecule: str = "molecule") -> DataFrame:
-    """Rows x endpoints that apply. Named endpoints apply to every row; otherwise those whose input the row
-    has, or all of them for a batch or for a row without any input. The registry is a handful of rows."""
-    eps = F.broadcast(R.endpoints_frame(rows.sparkSession, names))
-    out = rows.crossJoin(eps)
+    """One row per row and endpoint that applies. Named endpoints apply to every row; otherwise those whose input the row
+    has, or all of them for a batch or for a row without any input."""
+    eps = F.array(*[F.struct(F.lit(e.name).alias("endpoint"), F.lit(e.kind).alias("kind"), F.lit(e.modality).alias("modality"),
+                             F.lit(e.transform).alias("transform"), F.lit(e.unit).alias("unit")) for e in R.resolve(names)])
+    out = rows.select("*", F.inline(eps))
     has_seq = F.coalesce(F.length(sequence) > 0, F.lit(False))
     has_mol = F.coalesce(F.length(molecule) > 0, F.lit(False))
     has_input = F.when(F.col("modality") == R.SEQUENCE, has_seq).otherwise(has_mol)

@@ -18,11 +18,14 @@ from ..session import shuffle_partitions
 _BUCKET = "__bucket"
 
 
-def _same(left: DataFrame, right: DataFrame, names: Iterable[str]) -> Column:
+def _lookup(rows: DataFrame, offsets: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Null-safe join of rows with per-(group, bucket) offsets, under fresh names for the right side."""
+    names = list(names)
+    right = offsets.withColumnsRenamed({c: f"__r_{i}" for i, c in enumerate(names)})
     cond = F.lit(True)
-    for c in names:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
+    for i, c in enumerate(names):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{i}"))
+    return rows.join(right, cond)
 
 
 def cut_points(df: DataFrame, value: str, buckets: int) -> list[float]:
@@ -63,10 +66,9 @@ def prefix_sums(df: DataFrame, value: str, sums: Iterable[str], by: Iterable[str
         *by, _BUCKET,
         *[F.coalesce(F.sum(f"__sum_{s}").over(before), F.lit(0)).alias(f"__off_{s}") for s in sums],
         *[F.sum(f"__sum_{s}").over(whole).alias(f"{s}_total") for s in sums])
-    joined = rows.join(offsets, _same(rows, offsets, [*by, _BUCKET]))
-    keep = [rows[c] for c in df.columns]
+    joined = _lookup(rows, offsets, [*by, _BUCKET])
     return joined.select(
-        *keep, *[(F.col(f"__in_{s}") + F.col(f"__off_{s}")).alias(f"{s}_before") for s in sums],
+        *df.columns, *[(F.col(f"__in_{s}") + F.col(f"__off_{s}")).alias(f"{s}_before") for s in sums],
         *[F.col(f"{s}_total") for s in sums])
 
 
@@ -111,8 +113,8 @@ def permutation_rank(df: DataFrame, key: str, seed: int | str, buckets: int | No
                    F.lit(0)).alias("__off"),
         F.sum("__n").over(Window.partitionBy()).alias("n_total"))
     # at most `n` offset rows: bounded by the bucket count, so a broadcast is safe
-    joined = rows.join(F.broadcast(offsets), rows[_BUCKET] == offsets["__b"])
-    return joined.select(*[rows[c] for c in df.columns],
+    joined = rows.join(F.broadcast(offsets), F.col(_BUCKET) == F.col("__b"))
+    return joined.select(*df.columns,
                          (F.col("__in") + F.col("__off")).cast("long").alias("position"), "n_total")
 
 
@@ -126,8 +128,8 @@ def prefix_max(df: DataFrame, order: str, value: str, by: Iterable[str] = (),
     tops = rows.groupBy(*by, _BUCKET).agg(F.max(value).alias("__top"))
     before = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tops.select(*by, _BUCKET, F.max("__top").over(before).alias("__off"))
-    joined = rows.join(offsets, _same(rows, offsets, [*by, _BUCKET]))
-    return joined.select(*[rows[c] for c in df.columns],
+    joined = _lookup(rows, offsets, [*by, _BUCKET])
+    return joined.select(*df.columns,
                          F.greatest("__in", "__off").alias(f"{value}_upto"))
 
 

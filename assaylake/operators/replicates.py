@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import clean as C
 from ..registry import FLOOR
+from .joins import attach_row
+from .prepare import same_groups
 from .rank import exact_quantiles
 
 
@@ -51,7 +53,7 @@ def replicate_census(df: DataFrame, key: str = "key", y: str = "y", by: Iterable
         F.count_if(spread).alias("n_spread_keys"), F.avg(F.when(spread, F.col("sd"))).alias("mean_spread"),
         F.max(F.when(spread, F.col("sd"))).alias("max_spread")])
     overall = _agg(df, by, [F.stddev_samp(y).alias("overall_sd")])
-    return out.join(overall, by) if by else out.crossJoin(F.broadcast(overall))
+    return same_groups(out, overall, by)
 
 
 def noise_ceiling(df: DataFrame, key: str = "key", y: str = "y", goal: float = 0.8,
@@ -61,7 +63,7 @@ def noise_ceiling(df: DataFrame, key: str = "key", y: str = "y", goal: float = 0
     within = _agg(_per_key(df, by, key, y), by, [
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_keys"), F.sum(F.col("c") * F.col("v")).alias("__wv")])
     overall = _agg(df, by, [F.var_samp(y).alias("var_y")])
-    both = within.join(overall, by) if by else within.crossJoin(F.broadcast(overall))
+    both = same_groups(within, overall, by)
     noise = F.col("__wv") / F.col("n")
     ceiling = F.lit(1.0) - noise / F.col("var_y")
     return both.select(*by, "n", "n_keys", "var_y", noise.alias("noise_var"), ceiling.alias("ceiling"),
@@ -92,8 +94,7 @@ def target_profile(df: DataFrame, y: str = "y", by: Iterable[str] = ()) -> DataF
     main = _agg(rows, by, [n.alias("n"), F.count_if(F.col("__v").isNull()).alias("n_missing"), F.min("__v").alias("min"),
                            F.max("__v").alias("max"), F.stddev_samp("__v").alias("sd"), skew.alias("skew")])
     by = list(by)
-    out = main.join(distinct, by, "left") if by else main.crossJoin(F.broadcast(distinct))
-    return out.fillna(0, ["n_distinct"])
+    return same_groups(main, distinct, by).fillna(0, ["n_distinct"])
 
 
 def dataset_overlap(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
@@ -114,7 +115,7 @@ def label_agreement(a: DataFrame, b: DataFrame, key: str = "key", y: str = "y",
     diffs = means[0].join(means[1], key).select(F.abs(F.col("__a") - F.col("__b")).alias("d"))
     stats = diffs.agg(F.count(F.lit(1)).alias("n_shared"), F.max("d").alias("max_diff"),
                       F.count_if(F.col("d") < tolerance).alias("n_equal"))
-    return stats.crossJoin(F.broadcast(exact_quantiles(diffs, "d", {"median_diff": 0.5})))
+    return attach_row(stats, exact_quantiles(diffs, "d", {"median_diff": 0.5}))
 
 
 def floor_census(df: DataFrame, y: str = "y", by: Iterable[str] = (), floor: float = FLOOR) -> DataFrame:

@@ -18,11 +18,12 @@ def rounded(df, digits: int = 6, skip: tuple[str, ...] = ()):
 
 @query("replicate_mean", f"""WITH {B.MEASURES}, first AS (
   SELECT key, quantity FROM measures QUALIFY row_number() OVER (PARTITION BY key ORDER BY l_orderkey, l_linenumber, quantity, y) = 1)
-SELECT m.key, round(avg(m.y), 4) AS y_mean, count(*) AS repeats, any_value(f.quantity) AS quantity
+SELECT m.key, round(avg(log10(m.y)), 6) AS y_mean, count(*) AS repeats, any_value(f.quantity) AS quantity
 FROM measures m JOIN first f ON f.key = m.key GROUP BY m.key""")
 def replicate_mean(spark, d):
-    out = Rep.replicate_mean(B.measures(spark, d), order=["l_orderkey", "l_linenumber", "quantity", "y"], features=["quantity"])
-    return out.withColumn("y_mean", F.round("y_mean", 4))
+    rows = B.measures(spark, d).withColumn("model_y", F.log10("y"))
+    order = ["l_orderkey", "l_linenumber", "quantity", "y"]
+    return rounded(Rep.replicate_mean(rows, y="model_y", order=order, features=["quantity"]), skip=("quantity",))
 
 
 @query("replicate_info", f"""WITH {B.KEPT}, k AS (SELECT key, count(*) AS c FROM kept GROUP BY key)

@@ -215,24 +215,25 @@ def dpc(spark, d):
 
 
 def _case(weights: dict[str, float]) -> str:
-    arms = " ".join(f"WHEN '{a}' THEN {w}" for a, w in weights.items())
-    return f"CASE c {arms} ELSE 0.0 END"
+    arms = " ".join(f"WHEN '{a}' THEN {round(10 * w)}" for a, w in weights.items())
+    return f"CASE c {arms} ELSE 0 END"
 
 
 _PHYS = f"""res AS (SELECT row_id, lang, key, unnest(string_split(key, '')) AS c FROM kept),
-val AS (SELECT *, CAST({_case(S.HYDROPATHY)} AS DOUBLE) AS h, CAST({_case(S.CHARGE)} AS DOUBLE) AS q FROM res),
-phys AS (SELECT row_id, any_value(lang) AS lang, any_value(key) AS key, 110.0 * count(*) AS mw, avg(h) AS hydro_mean,
-  max(h) - min(h) AS hydro_range, sum(q) AS net_charge,
+val AS (SELECT *, {_case(S.HYDROPATHY)} AS h, {_case(S.CHARGE)} AS q FROM res),
+phys AS (SELECT row_id, any_value(lang) AS lang, any_value(key) AS key, 110.0 * count(*) AS mw,
+  sum(h) / 10.0::DOUBLE / count(*) AS hydro_mean, max(h) / 10.0 - min(h) / 10.0 AS hydro_range,
+  sum(q) / 10.0::DOUBLE AS net_charge,
   7.0 + 2.0 * (count(*) FILTER (c IN ('R', 'K')) - count(*) FILTER (c IN ('D', 'E'))) / count(*) AS pi_est,
-  sum(h) / count(*) AS gravy, count(*) FILTER (h > 0) / count(*) AS hydrophobic_share,
+  sum(h) / 10.0::DOUBLE / count(*) AS gravy, count(*) FILTER (h > 0) / count(*) AS hydrophobic_share,
   count(*) FILTER (c IN ('R', 'K', 'H', 'D', 'E')) / count(*) AS charged_share FROM val GROUP BY row_id)"""
-_PHYS_COLS = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in S.PHYSCHEM)
+_PHYS_COLS = ", ".join(f"round(CAST({c} AS DOUBLE), 9) AS {c}" for c in S.PHYSCHEM)
 
 
 @query("physchem8", f"WITH {B.KEPT}, {_PHYS} SELECT row_id, {_PHYS_COLS} FROM phys")
 def physchem8(spark, d):
     cols = S.physchem(F.col("key"))
-    return B.kept(spark, d).select("row_id", *[F.round(c, 6).alias(n) for n, c in cols.items()])
+    return B.kept(spark, d).select("row_id", *[F.round(c, 9).alias(n) for n, c in cols.items()])
 
 
 @query("physchem_profile", f"""WITH {B.KEPT}, {_PHYS}
