@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("rows", "census", "similar", "scores", "censor")
+_MODULES = ("rows", "census", "similar", "scores", "censor", "learn")
 
 
 def query(name: str, oracle: str | None = None):
