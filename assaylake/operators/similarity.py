@@ -86,15 +86,18 @@ def _need(size: Column, t: Fraction) -> Column:
 def prefix_rows(sets: DataFrame, t: Fraction, k: int) -> DataFrame:
     """(id, size, kmer, n, df) of the prefix k-mers that occur more than once overall; df is the number
     of occurrences, an upper bound of the length of the k-mer's list."""
-    frequency = sets.select(F.explode(S.kmers(F.col("key"), k)).alias("kmer")).groupBy("kmer").agg(
-        F.count(F.lit(1)).alias("df"))
+    counted = sets.select(F.explode(S.kmers(F.col("key"), k)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("df"))
+    frequency = cut_lineage(counted.where("df > 1"))  # the vocabulary of repeated k-mers: read three times below
     long = sets.select("id", "size", F.explode(S.kmer_counts(F.col("key"), k)).alias("e")).select(
         "id", "size", F.col("e.token").alias("kmer"), F.col("e.n").alias("n"))
-    ranked = salted_join(long, frequency, "kmer", hot=hot_of_counts(frequency, "kmer", "df"))
-    before = Window.partitionBy("id").orderBy("df", "kmer").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("pos", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # a k-mer that occurs once comes first in the order and matches nothing: it only shifts positions,
+    # so it need not travel; the shift is what the size leaves over
+    shared = salted_join(long, frequency, "kmer", hot=hot_of_counts(frequency, "kmer", "df"))
+    mine = Window.partitionBy("id")
+    before = mine.orderBy("df", "kmer").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = shared.withColumn("pos", F.col("size") - F.sum("n").over(mine) + F.coalesce(F.sum("n").over(before), F.lit(0)))
     inside = F.col("pos") < F.col("size") - _need(F.col("size"), t) + 1
-    return cut_lineage(ranked.where(inside & (F.col("df") > 1)).select("id", "size", "kmer", "n", "df"))
+    return cut_lineage(ranked.where(inside).select("id", "size", "kmer", "n", "df"))
 
 
 def _candidates(found: DataFrame, t: Fraction) -> DataFrame:
