@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import clean as C, normal as N
+from ..functions.sequence import bind
 from ..registry import FLOOR, REGION_CUT
 from .joins import attach_row, each_of
 from .metrics import auc, grouped, regression_aggs
@@ -129,8 +130,8 @@ def rank_gaussian(df: DataFrame, y: str = "y", train: Column | None = None) -> D
     share = F.greatest(upto, F.col("__low.m")) / n
     p = F.least(F.greatest(share, F.lit(0.5) / n), F.lit(1.0) - F.lit(0.5) / n)
     out = attach_row(placed, lowest).select("value", p.alias("cdf"))
-    out = out.withColumn("__z", N.ppf(F.col("cdf")))
-    return out.select("value", "cdf", N.refine(F.col("__z"), F.col("cdf")).alias("z"))
+    # the start value is bound once: repeated in the refinement it would blow the expression up
+    return out.withColumn("z", bind(N.ppf(F.col("cdf")), lambda x: N.refine(x, F.col("cdf"))))
 
 
 def rank_gaussian_inverse(queries: DataFrame, train_values: DataFrame, z: str = "z", y: str = "y") -> DataFrame:

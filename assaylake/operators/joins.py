@@ -29,7 +29,9 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
     """
     hot = F.broadcast(hot if hot is not None else hot_keys(rows, key))
     left = rows.join(hot, F.col(key) == F.col("__hot"), "left")
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c != key]), F.col("__salts")).cast("int")
+    rest = [F.col(c) for c in rows.columns if c != key]
+    # rows without further columns are all alike: spread them by the partition they come from
+    spread = F.pmod(F.xxhash64(*rest) if rest else F.spark_partition_id(), F.col("__salts")).cast("int")
     left = left.select(*rows.columns, F.coalesce(spread, F.lit(0)).alias("__salt"))
     right = lookup.join(hot, F.col(key) == F.col("__hot"), "left")
     right = right.select(*lookup.columns,
