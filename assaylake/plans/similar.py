@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import registry as R
 from ..operators import similarity as Sim, splits as Sp
 from ..operators.families import families
+from ..operators.joins import attach_row
+from ..session import cut_lineage
 from . import bindings as B
 from .catalog import query
 from .census import rounded
@@ -44,7 +46,8 @@ def family_rows(spark, d):
 
 
 def controlled(spark, d):
-    return Sp.family_split(family_rows(spark, d))
+    """The family split, stored, since audits read it more than once."""
+    return cut_lineage(Sp.family_split(cut_lineage(family_rows(spark, d))))
 
 
 def _sets(spark, d):
@@ -173,4 +176,4 @@ def split_report(spark, d):
     """Flagship: the audited family split with its exact maximum cross-split similarity."""
     fam = controlled(spark, d)
     top = _cross(spark, d, fam).select("max_jaccard")
-    return Sp.split_audit(fam, ["rep", "family"]).crossJoin(F.broadcast(top))
+    return attach_row(Sp.split_audit(fam, ["rep", "family"]), top)
