@@ -41,13 +41,13 @@ fsplit AS (SELECT f.*, CASE WHEN p < floor(n * 0.7::DOUBLE) THEN 'train' WHEN p
   FROM fam f JOIN forder o ON o.family = f.family)"""
 
 
-def family_rows(spark, d):
-    return families(B.profiles(spark, d).select("doc_id", "key"), "doc_id", "key", T, K)
+def family_rows(spark, d, classes=None):
+    return families(B.profiles(spark, d).select("doc_id", "key"), "doc_id", "key", T, K, classes)
 
 
-def controlled(spark, d):
+def controlled(spark, d, classes=None):
     """The family split, stored, since audits read it more than once."""
-    return cut_lineage(Sp.family_split(cut_lineage(family_rows(spark, d))))
+    return cut_lineage(Sp.family_split(cut_lineage(family_rows(spark, d, classes))))
 
 
 def _sets(spark, d):
@@ -122,8 +122,8 @@ def split_audit(spark, d):
     return Sp.split_audit(controlled(spark, d), ["rep", "family"])
 
 
-def _cross(spark, d, split):
-    members, sets = _sets(spark, d)
+def _cross(split, classes):
+    members, sets = classes
     rows = members.join(split.select("doc_id", "split"), "doc_id").select("rep", "split")
     return rounded(Sim.max_cross_jaccard(rows, sets, K))
 
@@ -139,13 +139,14 @@ FROM x ORDER BY jaccard DESC, 1, 2 LIMIT 1"""
 @query("max_cross_jaccard", f"{_WITH}, {_FSPLIT}, members AS (SELECT rep, split FROM fsplit), {_CROSS}")
 def max_cross_jaccard(spark, d):
     """After the family split: must stay below the family threshold."""
-    return _cross(spark, d, controlled(spark, d))
+    classes = _sets(spark, d)
+    return _cross(controlled(spark, d, classes), classes)
 
 
 @query("max_cross_jaccard_random", f"""{_WITH}, {_RSPLIT}, members AS (
   SELECT m.rep, r.split FROM member m JOIN rsplit r ON r.doc_id = m.doc_id), {_CROSS}""")
 def max_cross_jaccard_random(spark, d):
-    return _cross(spark, d, Sp.random_row_split(B.table(spark, d, "documents").select("doc_id"), "doc_id"))
+    return _cross(Sp.random_row_split(B.table(spark, d, "documents").select("doc_id"), "doc_id"), _sets(spark, d))
 
 
 @query("exact_leak_check", f"""{_WITH}, {_FSPLIT}, {_RSPLIT},
@@ -174,6 +175,7 @@ SELECT split, count(*) AS n_rows, count(DISTINCT rep) AS n_rep, count(DISTINCT f
   (SELECT round(max(jaccard), 6) FROM x) AS max_jaccard FROM fsplit GROUP BY split""")
 def split_report(spark, d):
     """Flagship: the audited family split with its exact maximum cross-split similarity."""
-    fam = controlled(spark, d)
-    top = _cross(spark, d, fam).select("max_jaccard")
+    classes = _sets(spark, d)
+    fam = controlled(spark, d, classes)
+    top = _cross(fam, classes).select("max_jaccard")
     return attach_row(Sp.split_audit(fam, ["rep", "family"]), top)
