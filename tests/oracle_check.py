@@ -42,7 +42,8 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     a, b = _canon(got), _canon(want)
-    kinds = [(c, a[c].dtype.kind, b[c].dtype.kind) for c in a.columns if a[c].dtype.kind != b[c].dtype.kind]
+    kinds = [(c, a[c].dtype.kind, b[c].dtype.kind) for c in a.columns
+             if a[c].dtype.kind != b[c].dtype.kind and not a[c].isna().any()]  # nulls change the kind in pandas
     for c in a.columns:
         left, right = a[c], b[c]
         if left.dtype.kind == "f" or right.dtype.kind == "f":
