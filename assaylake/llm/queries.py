@@ -6,16 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, sharding
+from . import bpe, chat, embedding_dedup, exact_dedup, packing, sharding, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    found = warc.read_archives(manifest, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op5_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.reply_ordered(table(spark, sf_dir, "conversations"))
 
@@ -25,7 +43,9 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_feistel_sharding, op9_quotation_linking, op10_heavy_hitter_dedup)}
+    return {f.__name__: f for f in (
+        op3_rank_array_bpe, op4_zip_warc, op5_hyperplane_dedup, op6_feistel_sharding, op8_genetic_packing,
+        op9_quotation_linking, op10_heavy_hitter_dedup)}
 
 
 _EXACT = """
@@ -34,5 +54,24 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY h)"""
 
 
+_WARC = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, url, strlen(h) AS n, sha256(h) AS d, min(page_id) OVER (PARTITION BY sha256(h)) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= {warc.MIN_REVISIT} AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {warc.MIN_REVISIT} AND page_id > first THEN first END AS refers_to, url FROM q"""
+#: All pairs of a label, in doubles; components by a recursive walk.
+_EMBED = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v), z AS (SELECT * FROM u WHERE n > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM z a JOIN z b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {embedding_dedup.THRESHOLD}),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN k ON vec_id = k.a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_feistel_sharding": sharding.oracle(), "op10_heavy_hitter_dedup": _EXACT}
+    return {"op4_zip_warc": _WARC, "op5_hyperplane_dedup": _EMBED, "op6_feistel_sharding": sharding.oracle(), "op10_heavy_hitter_dedup": _EXACT}
