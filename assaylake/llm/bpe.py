@@ -68,26 +68,23 @@ class Encoder:
     def parts(self, word: str) -> list[str]:
         """The vocabulary tokens of one word."""
         text = word.encode().decode("latin-1").translate(self.letters)
-        symbols = [*text[:-1], text[-1] + WORD_END]
-        ranks, get = self.ranks, self.ranks.get
-        n = len(symbols)
-        # a boundary is the index where a part begins; beside it lies the rank of the pair of that part and the next
-        bounds = list(range(n + 1))
-        pair = [get((symbols[i], symbols[i + 1]), _NONE) for i in range(n - 1)]
-        joined = symbols
-        while pair:
-            low = min(pair)
+        get = self.ranks.get
+        # part k reaches from one boundary to the next; the end mark belongs to the last letter
+        bounds = [*range(len(text)), len(text) + len(WORD_END)]
+        text += WORD_END
+        rank = lambda k: get((text[bounds[k]:bounds[k + 1]], text[bounds[k + 1]:bounds[k + 2]]), _NONE)
+        ranks = [rank(k) for k in range(len(bounds) - 2)]
+        while ranks:
+            low = min(ranks)
             if low == _NONE:
                 break
-            i = pair.index(low)
-            joined[i] += joined[i + 1]
-            del joined[i + 1], bounds[i + 1]
-            del pair[i]
-            if i < len(pair):
-                pair[i] = ranks.get((joined[i], joined[i + 1]), _NONE)
-            if i:
-                pair[i - 1] = ranks.get((joined[i - 1], joined[i]), _NONE)
-        return joined
+            k = ranks.index(low)
+            del bounds[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank(k)
+            if k:
+                ranks[k - 1] = rank(k - 1)
+        return [text[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def word(self, word: str) -> tuple:
         """(number of ids, ids joined by blanks, tokens joined by blanks, ids as little-endian 32-bit words)"""
