@@ -47,8 +47,8 @@ def text_key(*columns: Column) -> Column:
     whole = columns[0] if len(columns) == 1 else F.concat_ws("\x1f", *columns)
     # conv gives an unsigned number; the upper half wraps to negative longs
     number = F.conv(F.substring(F.sha2(whole, 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    wrapped = F.when(number >= F.lit(2**63).cast("decimal(20,0)"), number - F.lit(2**64).cast("decimal(21,0)")).otherwise(number)
-    return wrapped.cast("long")
+    half, full = F.lit("9223372036854775808").cast("decimal(20,0)"), F.lit("18446744073709551616").cast("decimal(20,0)")
+    return F.when(number >= half, number - full).otherwise(number).cast("long")
 
 
 # ---- packed columns -------------------------------------------------------------------------------------

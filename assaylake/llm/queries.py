@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, exact_dedup, packing, sharding, warc
+from . import bpe, chat, embedding_dedup, exact_dedup, packing, sharding, suffix_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op3_rank_array_bpe, op4_zip_warc, op5_hyperplane_dedup, op6_feistel_sharding, op8_genetic_packing,
+        op1_suffix_array_dedup, op3_rank_array_bpe, op4_zip_warc, op5_hyperplane_dedup, op6_feistel_sharding, op8_genetic_packing,
         op9_quotation_linking, op10_heavy_hitter_dedup)}
 
 
