@@ -112,9 +112,6 @@ def write_archives(pages: DataFrame, folder: str | None = None, package_bytes: i
     """Writes all pages below a folder that all executors share; returns the manifest: path, n_records, n_bytes."""
     folder = folder or shared_folder(pages.sparkSession, "warc")
     rows = marked(pages)
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("payload") + 600), F.lit(0))).first()[0]
-    files = max(1, -(-int(total) // package_bytes))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = opened(folder)
         system.create_dir(base, recursive=True)
@@ -143,7 +140,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, package_bytes: i
         if index:
             yield close()
 
-    return stored(rows.repartition(files, "uid").mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
+    # the join that marks revisits has dealt the pages out; each of its tasks writes its own packages
+    return stored(rows.mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
 # ---- reading --------------------------------------------------------------------------------------------
