@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, exact_dedup, packing, sharding, suffix_dedup, warc
+from . import bpe, chat, embedding_dedup, exact_dedup, minhash, packing, quality, sharding, suffix_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op3_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,11 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.scored(table(spark, sf_dir, "documents"), trusted).drop("text_key")
+
+
 def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,8 +57,8 @@ def op10_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_suffix_array_dedup, op3_rank_array_bpe, op4_zip_warc, op5_hyperplane_dedup, op6_feistel_sharding, op8_genetic_packing,
-        op9_quotation_linking, op10_heavy_hitter_dedup)}
+        op1_suffix_array_dedup, op2_weighted_minhash, op3_rank_array_bpe, op4_zip_warc, op5_hyperplane_dedup, op6_feistel_sharding,
+        op7_kneser_ney_quality, op8_genetic_packing, op9_quotation_linking, op10_heavy_hitter_dedup)}
 
 
 _EXACT = """
