@@ -12,7 +12,11 @@ repeated rows and null ids are pieces of their own; an empty table gives no rows
 
 from __future__ import annotations
 
+import array
 import bisect
+import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,25 +24,67 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import default_vocabulary, encoder
+from .bpe import default_vocabulary
 from .common import slices, stored, text_of
 
 CAPACITY, END_ID = 4096, 1
 SHARD_ITEMS, ISLANDS, EPOCHS = 8192, 2, 2
 POPULATION, GENERATIONS = 6, 10
+CACHE_CHUNKS = 300_000
+_CONTROL = re.compile("[\x1c-\x1f]")
 _ELITE = "shard long, island int, uids binary, lengths binary, bins binary, n_bins long, fitness double"
 
 
+class ChunkIds:
+    """Token ids by the tokenizers library, one call per batch for chunks between blanks that are not known yet.
+
+    No token crosses a blank, so the ids of a text are those of its chunks. Two generations of CACHE_CHUNKS chunks are kept.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+        from tokenizers import Tokenizer
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit words."""
+        # control characters part words for str.split only: such texts are one chunk
+        split = [[t] if _CONTROL.search(t) else t.split() for t in texts]
+        missing = []
+        for c in set(itertools.chain.from_iterable(split)):
+            if c not in self.new:
+                if c in self.old:
+                    self.new[c] = self.old[c]
+                else:
+                    missing.append(c)
+        for c, found in zip(missing, self.library.encode_batch(missing, add_special_tokens=False)):
+            self.new[c] = array.array("I", found.ids).tobytes()
+        known = self.new
+        out = [b"".join([known[c] for c in chunks]) for chunks in split]
+        if len(known) > CACHE_CHUNKS:
+            self.old, self.new = known, {}
+        return out
+
+
+_LIBRARIES: dict[str, ChunkIds] = {}
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), END_ID.to_bytes(4, "little")
-        for batch in slices(batches, "text", 8 << 20):
+        if path not in _LIBRARIES:
+            _LIBRARIES[path] = ChunkIds(path)
+        encode, end = _LIBRARIES[path], END_ID.to_bytes(4, "little")
+        for batch in slices(batches, "text", 4 << 20):
             rows = []
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = b"".join([w[3] for w in enc.words(t)]) + end
+            for d, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
