@@ -150,7 +150,8 @@ def suffix_ranks(text: np.ndarray, covered: int, enough: int) -> np.ndarray:
         left, right = renamed[len(zero):] * size + rank[twos + 2], renamed[:len(zero)] * size + rank[zero + 2]
         less2 = np.searchsorted(left, right)
     ranks = np.empty(n, np.int64)
-    at_zero = np.arange(len(zero)) + less1 + less2
+    # suffixes that agree beyond `enough` bytes have an arbitrary order, so the counts may step back among them
+    at_zero = np.arange(len(zero)) + np.maximum.accumulate(less1 + less2)
     ranks[zero] = at_zero
     free = np.ones(n, bool)
     free[at_zero] = False
