@@ -39,7 +39,7 @@ def brute_groups(rows):
         w = (t or "").lower().split()
         shingled.append(Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else Counter([tuple(w)] if w else []))
     df, n = Counter(s for c in shingled for s in c), len(rows)
-    weigh = [{s: k * (1 + math.log((n + 1) / (df[s] + 1)) / math.log(n + 1)) for s, k in c.items()} for c in shingled]
+    weigh = [{s: k * (1 + 0.25 * math.log((n + 1) / (df[s] + 1)) / math.log(n + 1)) for s, k in c.items()} for c in shingled]
     parent = list(range(n))
 
     def top(x):
