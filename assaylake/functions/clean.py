@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 from .. import registry as R
 
 # Characters removed at both ends of a key, and the words that mean "no molecule".
-_STRIP = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+_STRIP = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
 _NO_MOLECULE = ("", "nan", "None")
 _MOLECULE_CHARS = r"^[A-Za-z0-9@+\-\[\]()=#$:/\\.%*~]+$"
 
@@ -28,9 +29,9 @@ def is_missing(y: Column) -> Column:
 
 
 def valid_label(y: Column, kind: Column | str) -> Column:
-    """Present; a binary label is also 0 or 1."""
+    """Present and finite; a binary label is also 0 or 1."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return ~is_missing(y) & ((kind != R.BINARY) | y.isin(0.0, 1.0))
+    return ~is_missing(y) & (F.abs(y) < F.lit(float("inf"))) & ((kind != R.BINARY) | y.isin(0.0, 1.0))
 
 
 def scoring_mask(s: Column) -> Column:

@@ -164,10 +164,11 @@ def seed_summary(metrics: DataFrame, config: Sequence[str], metric: str, ddof: i
 
 
 def leaderboard(metrics: DataFrame, config: Sequence[str], metric: str, baseline: float | None = None,
-                top: int = 10) -> DataFrame:
-    """The top configurations by metric and their distance to a baseline (the limit is the report's size)."""
+                top: int | None = None) -> DataFrame:
+    """All configurations by metric, or the `top` ones if asked for, and their distance to a baseline."""
     out = metrics if baseline is None else metrics.withColumn("delta", F.col(metric) - F.lit(baseline))
-    return out.orderBy(F.desc(metric), *config).limit(top)
+    out = out.orderBy(F.desc(metric), *config)
+    return out if top is None else out.limit(top)
 
 
 def endpoint_summary(registry: DataFrame, binary: DataFrame, regression: DataFrame) -> DataFrame:

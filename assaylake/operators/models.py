@@ -18,6 +18,7 @@ from ..functions import censored as T, normal as N
 from . import metrics as M
 from .censoring import rank_gaussian, rank_gaussian_inverse
 from .features import concat_blocks
+from .joins import salted_join
 
 
 def positive_weight(train: DataFrame, label: str) -> float:
@@ -131,22 +132,23 @@ def rank_ensemble(preds: DataFrame, train_values: DataFrame, row_id: str = "row_
     """Average in normal-score space, then back to target units through the train quantiles."""
     mean = seed_ensemble(preds, row_id, y, z)
     back = rank_gaussian_inverse(mean, train_values, z, y)
-    return mean.join(back.withColumnRenamed("value", "pred"), z)
+    return salted_join(mean, back.withColumnRenamed("value", "pred"), z)
 
 
-def tobit_fit(df: DataFrame, features: str, y: str = "y", floor: float = R.FLOOR, rounds: int = 8):
+def tobit_fit(df: DataFrame, features: str, y: str = "y", floor: float = R.FLOOR, tolerance: float = 1e-3, most: int = 200):
     """Linear censored regression by expectation-maximization: (model, sigma, history DataFrame).
 
     E-step: censored labels become their conditional mean below the floor. M-step: least squares by normal
     equations and a new sigma with the censored rows' remaining variance. Every round starts from the same
-    stored rows and the last model, so lineage does not grow.
+    stored rows and the last model, so lineage does not grow. Rounds go on until sigma and the loss change by less than
+    `tolerance` of themselves; without convergence after `most` rounds the fit fails.
     """
     base = df.select(features, F.col(y).alias("__y"), (F.col(y) <= floor + R.FLOOR_TOLERANCE).alias("__c")).persist()
     fit = LinearRegression(featuresCol=features, labelCol="__t", predictionCol="__f", solver="normal", regParam=0.0)
     model = fit.fit(base.withColumn("__t", F.col("__y")))
     sigma = model.transform(base).agg(F.sqrt(F.avg((F.col("__y") - F.col("__f")) ** 2))).first()[0]
     history = []
-    for step in range(rounds):
+    for step in range(most):
         f = F.col("__f")
         filled = model.transform(base).withColumn(
             "__t", F.when(F.col("__c"), T.censored_expectation(f, sigma, floor)).otherwise(F.col("__y"))).withColumn(
@@ -159,6 +161,10 @@ def tobit_fit(df: DataFrame, features: str, y: str = "y", floor: float = R.FLOOR
         sigma = float(stats["sigma"])
         nll = model.transform(base).agg(F.avg(T.tobit_nll(F.col("__f"), F.col("__y"), sigma, floor))).first()[0]
         history.append((step + 1, sigma, float(nll)))
+        if step and all(abs(a - b) <= tolerance * max(abs(b), 1e-12) for a, b in zip(history[-1][1:], history[-2][1:])):
+            break
+    else:
+        raise RuntimeError(f"the censored fit did not converge in {most} rounds")
     base.unpersist()
     return model, sigma, df.sparkSession.createDataFrame(history, "round int, sigma double, mean_nll double")
 
@@ -166,4 +172,4 @@ def tobit_fit(df: DataFrame, features: str, y: str = "y", floor: float = R.FLOOR
 def gaussian_targets(df: DataFrame, y: str = "y", split: str = "split") -> DataFrame:
     """Adds the train-fitted normal score `z` of the target."""
     scores = rank_gaussian(df, y, F.col(split) == "train").select(F.col("value").alias(y), "z")
-    return df.join(scores, y)
+    return salted_join(df, scores, y, "left")

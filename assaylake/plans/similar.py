@@ -69,11 +69,13 @@ FROM pr LEFT JOIN ov USING (conv_id, turn) LEFT JOIN sz a USING (conv_id, turn)
 LEFT JOIN sz b ON b.conv_id = pr.conv_id AND b.turn = pr.turn + 1""")
 def jaccard_pairs(spark, d):
     """3-mer Jaccard of every message with the next one of its conversation."""
+    # the pair (conversation, turn) is the key, whatever the number of turns
+    place = lambda turn: F.concat_ws("|", "conv_id", turn)
     rows = B.table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("rep"), "conv_id", "turn",
+        place(F.col("turn")).alias("rep"), place(F.col("turn") - 1).alias("before"), "conv_id", "turn",
         F.upper(F.regexp_replace("text", f"[^{B.LETTERS}]", "")).alias("key"))
     sets = Sim.as_sets(rows, "rep", "key", R.FAMILY_K)
-    follow = rows.select((F.col("rep") - 1).alias("a"), F.col("rep").alias("b"))
+    follow = rows.select(F.col("before").alias("a"), F.col("rep").alias("b"))
     pairs = rows.select("conv_id", "turn", F.col("rep").alias("a")).join(follow, "a")
     return rounded(Sim.jaccard_of(pairs, sets, R.FAMILY_K).select("conv_id", "turn", "overlap", "jaccard"))
 

@@ -41,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="assaylake-ckpt-")
     sc.setCheckpointDir(folder)

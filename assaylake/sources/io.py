@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.clean import strip
 from ..registry import Endpoint
 
 
-def read_endpoint(spark: SparkSession, ep: Endpoint, path: str, fmt: str = "csv", limit: int | None = None,
-                  row_id: Column | None = None) -> DataFrame:
+def read_endpoint(spark: SparkSession, ep: Endpoint, path: str, fmt: str = "csv", row_id: Column | None = None) -> DataFrame:
     """Raw endpoint table as (row_id, key, y). CSV columns are mapped by header
-    name and cast, never inferred; a label that is no number becomes NULL.
-
-    `limit` is the smoke mode: a small trial run over the first rows read.
-    """
+    name and cast, never inferred; a label that is no number becomes NULL."""
     if fmt == "csv":
         # every header column is read as text; only the two mapped columns survive pruning
         df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     ident = row_id if row_id is not None else F.monotonically_increasing_id()
-    out = df.select(ident.alias("row_id"), F.col(ep.key_column).cast("string").alias("key"),
+    return df.select(ident.alias("row_id"), F.col(ep.key_column).cast("string").alias("key"),
                     F.col(ep.label_column).try_cast("double").alias("y"))
-    return out.limit(limit) if limit is not None else out
 
 
 def write_prepared(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -48,7 +44,7 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_key_list(spark: SparkSession, path: str) -> DataFrame:
     """Text file with one key per line; trimmed, blank lines dropped."""
-    return spark.read.text(path).select(F.trim("value").alias("key")).where(F.length("key") > 0)
+    return spark.read.text(path).select(strip(F.col("value")).alias("key")).where(F.length("key") > 0)
 
 
 def write_store(df: DataFrame, path: str, mode: str = "overwrite") -> None:
