@@ -7,9 +7,11 @@ counted over all documents. Two texts are near duplicates when their weighted Ja
    shingle and returns those that two classes share. All others match nothing, so their weight alone matters.
 2. A class with less than 0.8 of its weight in shared shingles has no partner and is done. For the rest
    ROWS * BANDS consistent samples are drawn; by the law of the samples the unshared shingles of a text may stand as one element.
-3. Bands make buckets. First each class is compared with the smallest class it meets, then every class with the smallest and
-   with the largest of each of its buckets, and last all pairs of a bucket that are still in different components, each in its first common bucket. So a large group of near copies is linked through one
-   member and never paired with itself, and no link between components is lost. Each comparison computes the exact similarity.
+3. Bands make buckets. First each class is compared with the best class it meets, the one with the least weight of its own (the likeliest
+   original), then every class with the best, the smallest and the largest of each of its buckets. Last come the pairs of a bucket that
+   are still in different components, each in its first common bucket, and only if an upper bound of their similarity (CAPS) reaches the
+   threshold. So a large group of near copies is linked through few members and not paired with itself, and no link between components is
+   lost. Each comparison computes the exact similarity.
 
 At similarity 0.8 three samples agree with 0.51, and 15 bands miss a pair with 2e-5.
 
@@ -30,6 +32,8 @@ from .common import U, by_shard, combine, mix, pack, slices, stored, text_key, t
 from .components import components
 
 WORDS, THRESHOLD, BANDS, ROWS, DAMPING = 5, 0.8, 15, 3, 0.25
+#: Parts of a class's shared weight, by shingle hash. The smaller of two classes' parts, added up, bound their common weight from above.
+CAPS = 32
 #: Bytes of text per group of shingles.
 GROUP_BYTES = 12 << 20
 
@@ -92,7 +96,7 @@ def _spread(texts: DataFrame, shards: int) -> DataFrame:
 
 
 def _shared(table):
-    """Of one group: the shingles of two classes or more, by class, with their df."""
+    """Of one group: the shingles of two classes or more: hash, class, copies, shingles of the class, tf, df."""
     runs = unpack(table["runs"], np.int32)
     per_run = [unpack(table[c], t) for c, t in (("classes", np.int64), ("copies", np.int32), ("totals", np.int32))]
     h, tf = unpack(table["hashes"], np.uint64), unpack(table["tfs"], np.int32)
@@ -118,13 +122,20 @@ def _shared(table):
     sizes = np.diff(np.append(first, len(h)))
     df = np.repeat(np.add.reduceat(copies, first), sizes) if len(first) else copies
     shared = np.repeat(sizes, sizes) > 1
-    order = np.flatnonzero(shared)
-    order = order[np.argsort(who[order], kind="stable")]
-    h, who, copies, total, tf, df = (x[order] for x in (h, who, copies, total, tf, df))
-    at = np.flatnonzero(np.concatenate(([True], np.diff(who) != 0))[:len(who)])
-    ends = np.append(at, len(who))
-    return pa.table({"cls": pa.array(who[at]), "copies": pa.array(copies[at]), "total": pa.array(total[at].astype(np.int64)),
-                     "hashes": pack(h, ends), "dfs": pack(df.astype(np.int64), ends), "tfs": pack(tf.astype(np.int32), ends)})
+    return h[shared], who[shared], copies[shared], total[shared], tf[shared], df[shared]
+
+
+def _parts(shards: int):
+    """Sends the shared shingles of one group on to the groups of their classes, one packed row for each."""
+    def run(key, table):
+        h, who, copies, total, tf, df = _shared(table)
+        part = (mix(who.view(np.uint64)) >> U(20)).astype(np.int64) % shards
+        groups, starts, (h, who, copies, total, tf, df) = by_shard(part, h, who, copies, total, tf, df)
+        return pa.table({"part": pa.array(groups.astype(np.int32)), "classes": pack(who, starts), "copies": pack(copies.astype(np.int32), starts),
+                         "totals": pack(total.astype(np.int32), starts), "hashes": pack(h, starts), "dfs": pack(df.astype(np.int64), starts),
+                         "tfs": pack(tf.astype(np.int32), starts)})
+
+    return run
 
 
 # ---- consistent weighted sampling --------------------------------------------------------------------------------
@@ -151,36 +162,37 @@ def samples(h: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
     return mix(base[rows, best] + t[rows, best].astype(np.int64).view(np.uint64) * U(0xC2B2AE3D27D4EB4F))
 
 
-def _profiles(gathered: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Classes that can have a partner: their shared shingles, total weight, samples and band keys."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for cls, copies, total, parts in zip(*(batch.column(c).to_pylist() for c in ("cls", "copies", "total", "parts"))):
-                h = np.frombuffer(b"".join(p["hashes"] for p in parts), np.uint64)
-                df = np.frombuffer(b"".join(p["dfs"] for p in parts), np.int64)
-                tf = np.frombuffer(b"".join(p["tfs"] for p in parts), np.int32)
-                weights = tf * idf(df, n)
-                rest = (total - int(tf.sum())) * float(idf(copies, n))
-                if weights.sum() < threshold * (weights.sum() + rest) * (1 - 1e-9):
-                    continue
-                order = np.argsort(h)
-                h, df, tf, weights = h[order], df[order], tf[order], weights[order]
-                elements, masses = h, weights
-                if rest > 0:
-                    own = mix(np.array([cls], np.int64).view(np.uint64) + U(0x27D4EB2F165667C5))
-                    elements, masses = np.append(h, own), np.append(weights, rest)
-                drawn = samples(elements, masses, BANDS * ROWS)
-                bands = drawn.reshape(BANDS, ROWS)
-                key = combine(combine(bands[:, 0], bands[:, 1]), bands[:, 2]) + np.arange(BANDS, dtype=np.uint64)
-                rows.append((cls, h.tobytes(), df.tobytes(), tf.tobytes(), weights.sum() + rest, mix(key).view(np.int64).tolist()))
-            if rows:
-                cls, h, df, tf, total, keys = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(h, pa.binary()), pa.array(df, pa.binary()), pa.array(tf, pa.binary()),
-                                                  pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64()))],
-                                                 names=["cls", "hashes", "dfs", "tfs", "mass", "bands"])
-
-    return gathered.mapInArrow(run, "cls long, hashes binary, dfs binary, tfs binary, mass double, bands array<long>")
+def _profiles(n: int, threshold: float):
+    """Of one group of classes those that can have a partner: their shared shingles, total weight, samples, band keys and caps."""
+    def run(key, table):
+        who, h = unpack(table["classes"], np.int64), unpack(table["hashes"], np.uint64)
+        order = np.lexsort((h, who))
+        who, h = who[order], h[order]
+        copies, total, tf = (unpack(table[c], np.int32)[order] for c in ("copies", "totals", "tfs"))
+        df = unpack(table["dfs"], np.int64)[order]
+        weights = tf * idf(df, n)
+        at = np.flatnonzero(np.concatenate(([True], np.diff(who) != 0))[:len(who)])
+        rows = []
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(who)]):
+            w, shared = weights[lo:hi], float(weights[lo:hi].sum())
+            # every group of shingles has seen the same copies of a class
+            rest = (int(total[lo:hi].max()) - int(tf[lo:hi].sum())) * float(idf(copies[lo:hi].max(), n))
+            if shared < threshold * (shared + rest) * (1 - 1e-9):
+                continue
+            elements, masses = h[lo:hi], w
+            if rest > 0:
+                own = mix(who[lo:lo + 1].view(np.uint64) + U(0x27D4EB2F165667C5))
+                elements, masses = np.append(elements, own), np.append(masses, rest)
+            bands = samples(elements, masses, BANDS * ROWS).reshape(BANDS, ROWS)
+            band = combine(combine(bands[:, 0], bands[:, 1]), bands[:, 2]) + np.arange(BANDS, dtype=np.uint64)
+            caps = np.bincount((h[lo:hi] >> U(11)).astype(np.int64) % CAPS, w, CAPS)
+            rows.append((int(who[lo]), h[lo:hi].tobytes(), df[lo:hi].tobytes(), tf[lo:hi].tobytes(), shared + rest, rest / (shared + rest),
+                         mix(band).view(np.int64).tolist(), caps.tolist()))
+        cells = zip(*rows) if rows else [[]] * 8
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+        return pa.table([pa.array(c, k) for c, k in zip(cells, kinds)], names=["cls", "hashes", "dfs", "tfs", "mass", "alone", "bands", "caps"])
+
+    return run
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -208,31 +220,37 @@ def _verified(pairs: DataFrame, profiles: DataFrame, n: int, threshold: float) -
 
 def _linked(profiles: DataFrame, n: int, threshold: float) -> DataFrame:
     """(node, root) of all classes with a near duplicate."""
-    met = profiles.select("cls", F.explode("bands").alias("bucket"))
-    hubs = met.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
-    met = stored(met.join(hubs, "bucket"), "near-met")
-    # each class with the smallest class it meets
-    first = met.where("cls <> low").groupBy("cls").agg(F.min("low").alias("low")).select(F.col("low").alias("a"), F.col("cls").alias("b"))
-    links = _verified(first, profiles, n, threshold)
+    # the class with the least weight of its own is the likeliest original: the first hub of its buckets
+    met = profiles.select(F.struct("alone", "cls").alias("rank"), F.explode("bands").alias("bucket"))
+    hubs = met.groupBy("bucket").agg(F.min("rank").alias("best"), F.min("rank.cls").alias("low"), F.max("rank.cls").alias("high")).where("low <> high")
+    met = stored(met.join(hubs, "bucket").select("bucket", F.col("rank.cls").alias("cls"), "best", "low", "high"), "near-met")
+    # each class with the best class it meets
+    first = met.groupBy("cls").agg(F.min_by("best.cls", "best").alias("hub")).where("hub <> cls")
+    links = _verified(first.select(F.col("hub").alias("a"), F.col("cls").alias("b")), profiles, n, threshold)
     roots = components(links)
+    met = met.withColumn("best", F.col("best.cls"))
 
     def rooted(rows: DataFrame, column: str, name: str) -> DataFrame:
         named = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
         return rows.join(named, F.col(column) == F.col("__n"), "left").withColumn(name, F.coalesce("__r", column)).drop("__n", "__r")
 
-    # the smallest, then the largest of each bucket with those of other components
-    for hub in ("low", "high"):
+    # the best, the smallest and the largest of each bucket with those of other components
+    for hub in ("best", "low", "high"):
         apart = rooted(rooted(met.where(F.col("cls") != F.col(hub)).select(hub, "cls").distinct(), "cls", "ra"), hub, "rb").where("ra <> rb")
         links = links.unionByName(_verified(apart.select(F.col(hub).alias("a"), F.col("cls").alias("b")), profiles, n, threshold))
         roots = components(links)
-    # what is left: members of one bucket in different components
+    # what is left: members of one bucket in different components, as far as their caps allow the similarity
     placed = rooted(met.select("bucket", "cls"), "cls", "root")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    bands = profiles.select(F.col("cls").alias("c"), "bands")
-    placed = placed.join(mixed, "bucket").join(bands, F.col("cls") == F.col("c")).drop("c")
+    known = profiles.select(F.col("cls").alias("c"), "bands", "caps", "mass")
+    placed = placed.join(mixed, "bucket").join(known, F.col("cls") == F.col("c")).drop("c")
     placed = stored(placed, "near-mixed")
-    other = placed.select(F.col("bucket").alias("k"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bands_b"))
-    rest = placed.join(other, (F.col("bucket") == F.col("k")) & (F.col("root") < F.col("rb")) & (F.array_intersect("bands", "bands_b")[0] == F.col("bucket")))
+    other = placed.select(F.col("bucket").alias("k"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bands_b"),
+                          F.col("caps").alias("caps_b"), F.col("mass").alias("mass_b"))
+    common = sum((F.least(F.col("caps")[k], F.col("caps_b")[k]) for k in range(1, CAPS)), F.least(F.col("caps")[0], F.col("caps_b")[0]))
+    near = common * (1 + threshold) >= F.lit(threshold * (1 - 1e-9)) * (F.col("mass") + F.col("mass_b"))
+    rest = placed.join(other, (F.col("bucket") == F.col("k")) & (F.col("root") < F.col("rb")) & near
+                       & (F.array_intersect("bands", "bands_b")[0] == F.col("bucket")))
     return components(links.unionByName(_verified(rest.select(F.col("cls").alias("a"), "b"), profiles, n, threshold)))
 
 
@@ -246,10 +264,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     shards = max(1, -(-total // GROUP_BYTES))
     spread = _spread(docs.select(text_key(whole).alias("key"), whole.alias("text")), int(shards))
-    shared = spread.groupBy("shard").applyInArrow(_shared, "cls long, copies long, total long, hashes binary, dfs binary, tfs binary")
-    # at most one part per group of shingles and class, bounded by the text
-    gathered = shared.groupBy("cls").agg(F.max("copies").alias("copies"), F.max("total").alias("total"), F.collect_list(F.struct("hashes", "dfs", "tfs")).alias("parts"))
-    profiles = stored(_profiles(gathered, max(n, 1), threshold), "near-profiles")
+    packed = "classes binary, copies binary, totals binary, hashes binary, dfs binary, tfs binary"
+    shared = spread.groupBy("shard").applyInArrow(_parts(int(shards)), f"part int, {packed}")
+    # a group of classes is bounded by its text
+    profiles = shared.groupBy("part").applyInArrow(
+        _profiles(max(n, 1), threshold), "cls long, hashes binary, dfs binary, tfs binary, mass double, alone double, bands array<long>, caps array<double>")
+    profiles = stored(profiles, "near-profiles")
     roots = _linked(profiles, max(n, 1), threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("first")
     classes = stored(rows.groupBy("key").agg(first), "near-classes")
