@@ -24,21 +24,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import default_vocabulary
+from .bpe import WORD_END, default_vocabulary
 from .common import slices, stored, text_of
 
 CAPACITY, END_ID = 4096, 1
 SHARD_ITEMS, ISLANDS, EPOCHS = 8192, 2, 2
 POPULATION, GENERATIONS = 6, 10
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
+#: ASCII marks that never join a word of letters before them.
+MARKS = ".,;:!?%#"
 _CONTROL = re.compile("[\x1c-\x1f]")
 _ELITE = "shard long, island int, uids binary, lengths binary, bins binary, n_bins long, fitness double"
 
 
 class ChunkIds:
-    """Token ids by the tokenizers library, one call per batch for chunks between blanks that are not known yet.
+    """Token ids by the tokenizers library, for chunks between blanks that are not known yet.
 
-    No token crosses a blank, so the ids of a text are those of its chunks. Two generations of CACHE_CHUNKS chunks are kept.
+    No token crosses a blank, so the ids of a text are those of its chunks. A new chunk of letters with marks behind it is its
+    word and its marks; new words go to the library in one text, whose ids part at the tokens that end a word. Two generations of
+    CACHE_CHUNKS chunks are kept.
     """
 
     def __init__(self, path: str):
@@ -47,26 +51,66 @@ class ChunkIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(WORD_END)]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters only."""
+        if not words:
+            return []
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        after = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(after) != len(words):  # a letter whose lower case holds a mark
+            return self._chunks(words)
+        ids = ids.tobytes()
+        return [ids[a:b] for a, b in zip([0, *after], after)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _find(self, missing: list[str]) -> None:
+        """Adds the ids of new chunks."""
+        new, old = self.new, self.old
+        words, others = {}, {}
+        chunks, lows, tails = [], [], []
+        for c in missing:
+            word = c.rstrip(MARKS)
+            if not word.isalpha():
+                others[c] = None
+                continue
+            low = word.lower() if word.isascii() or max(word) < "\u0100" else word
+            if low == c:
+                words[c] = None
+                continue
+            if low not in new and low not in words:
+                if low in old:
+                    new[low] = old[low]
+                else:
+                    words[low] = None
+            tail = c[len(word):]
+            others[tail] = None
+            chunks.append(c)
+            lows.append(low)
+            tails.append(tail)
+        new.update(zip(words, self._words(list(words))))
+        new.update(zip(others, self._chunks(list(others))))
+        for c, low, tail in zip(chunks, lows, tails):
+            new[c] = new[low] + new[tail]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit words."""
         # control characters part words for str.split only: such texts are one chunk
         split = [[t] if _CONTROL.search(t) else t.split() for t in texts]
-        missing = []
-        for c in set(itertools.chain.from_iterable(split)):
-            if c not in self.new:
-                if c in self.old:
-                    self.new[c] = self.old[c]
-                else:
-                    missing.append(c)
-        for c, found in zip(missing, self.library.encode_batch(missing, add_special_tokens=False)):
-            self.new[c] = array.array("I", found.ids).tobytes()
-        known = self.new
-        out = [b"".join([known[c] for c in chunks]) for chunks in split]
-        if len(known) > CACHE_CHUNKS:
-            self.old, self.new = known, {}
+        fresh = set(itertools.chain.from_iterable(split)).difference(self.new)
+        again = fresh & self.old.keys()
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        self._find(list(fresh - again))
+        known = self.new.__getitem__
+        out = [b"".join(map(known, chunks)) for chunks in split]
+        if len(self.new) > CACHE_CHUNKS:
+            self.old, self.new = self.new, {}
         return out
 
 
