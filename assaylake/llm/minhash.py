@@ -242,14 +242,16 @@ def _linked(profiles: DataFrame, n: int, threshold: float) -> DataFrame:
     # what is left: members of one bucket in different components, as far as their caps allow the similarity
     placed = rooted(met.select("bucket", "cls"), "cls", "root")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    known = profiles.select(F.col("cls").alias("c"), "bands", "caps", "mass")
+    known = profiles.select(F.col("cls").alias("c"), "bands", "caps", "mass", ((1 - F.col("alone")) * F.col("mass")).alias("shared"))
     placed = placed.join(mixed, "bucket").join(known, F.col("cls") == F.col("c")).drop("c")
     placed = stored(placed, "near-mixed")
     other = placed.select(F.col("bucket").alias("k"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bands_b"),
-                          F.col("caps").alias("caps_b"), F.col("mass").alias("mass_b"))
-    common = sum((F.least(F.col("caps")[k], F.col("caps_b")[k]) for k in range(1, CAPS)), F.least(F.col("caps")[0], F.col("caps_b")[0]))
-    near = common * (1 + threshold) >= F.lit(threshold * (1 - 1e-9)) * (F.col("mass") + F.col("mass_b"))
-    rest = placed.join(other, (F.col("bucket") == F.col("k")) & (F.col("root") < F.col("rb")) & near
+                          F.col("caps").alias("caps_b"), F.col("mass").alias("mass_b"), F.col("shared").alias("shared_b"))
+    # the cheap bound by whole shared weights comes first; a fold over the caps stays small enough to be compiled
+    bound = F.lit(threshold * (1 - 1e-9)) * (F.col("mass") + F.col("mass_b"))
+    whole = F.least("shared", "shared_b") * (1 + threshold) >= bound
+    common = F.aggregate(F.zip_with("caps", "caps_b", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
+    rest = placed.join(other, (F.col("bucket") == F.col("k")) & (F.col("root") < F.col("rb")) & whole & (common * (1 + threshold) >= bound)
                        & (F.array_intersect("bands", "bands_b")[0] == F.col("bucket")))
     return components(links.unionByName(_verified(rest.select(F.col("cls").alias("a"), "b"), profiles, n, threshold)))
 
