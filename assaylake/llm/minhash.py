@@ -8,8 +8,8 @@ counted over all documents. Two texts are near duplicates when their weighted Ja
 2. A class with less than 0.8 of its weight in shared shingles has no partner and is done. For the rest
    ROWS * BANDS consistent samples are drawn; by the law of the samples the unshared shingles of a text may stand as one element.
 3. Bands make buckets. First each class is compared with the best class it meets, the one with the least weight of its own (the likeliest
-   original), then every class with the best, the smallest and the largest of each of its buckets. Last come the pairs of a bucket that
-   are still in different components, each in its first common bucket, and only if an upper bound of their similarity (CAPS) reaches the
+   original), then every class with the best, the smallest and the largest of each of its buckets. Last come, in blocks, the pairs of a bucket
+   that are still in different components, each in its first common bucket, and only if an upper bound of their similarity (CAPS) reaches the
    threshold. So a large group of near copies is linked through few members and not paired with itself, and no link between components is
    lost. Each comparison computes the exact similarity.
 
@@ -34,6 +34,8 @@ from .components import components
 WORDS, THRESHOLD, BANDS, ROWS, DAMPING = 5, 0.8, 15, 3, 0.25
 #: Parts of a class's shared weight, by shingle hash. The smaller of two classes' parts, added up, bound their common weight from above.
 CAPS = 32
+#: Members of a bucket per block, where a bucket is compared with itself.
+BLOCK = 4096
 #: Bytes of text per group of shingles.
 GROUP_BYTES = 12 << 20
 
@@ -196,7 +198,7 @@ def _profiles(n: int, threshold: float):
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Of pairs (a, b) those with a weighted Jaccard similarity of at least the threshold."""
+    """Of pairs (a, b) in components (ra, rb) those with a weighted Jaccard similarity of at least the threshold, as links between the components."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -210,50 +212,64 @@ def _verified(pairs: DataFrame, profiles: DataFrame, n: int, threshold: float) -
                 common = float((tf * idf(np.frombuffer(da, np.int64)[both], n)).sum())
                 good.append(common >= threshold * (ma + mb - common) * (1 - 1e-12))
             kept = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("b").take(kept)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("ra").take(kept), batch.column("rb").take(kept)], names=["a", "b"])
 
     left = profiles.select(F.col("cls").alias("ca"), F.col("hashes").alias("ha"), F.col("tfs").alias("ta"), F.col("dfs").alias("da"), F.col("mass").alias("ma"))
     right = profiles.select(F.col("cls").alias("cb"), F.col("hashes").alias("hb"), F.col("tfs").alias("tb"), F.col("mass").alias("mb"))
     joined = pairs.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb"))
-    return stored(joined.select("a", "b", "ha", "ta", "da", "ma", "hb", "tb", "mb").mapInArrow(run, "a long, b long"), "near-links")
+    return joined.select("ra", "rb", "ha", "ta", "da", "ma", "hb", "tb", "mb").mapInArrow(run, "a long, b long")
 
 
-def _linked(profiles: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(node, root) of all classes with a near duplicate."""
+def _rooted(rows: DataFrame, column: str, name: str, levels: list[DataFrame]) -> DataFrame:
+    """Adds the component of `column`: each level maps the roots of the one before to those they were merged into."""
+    rows = rows.withColumn(name, F.col(column))
+    for level in levels:
+        named = level.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+        rows = rows.join(named, F.col(name) == F.col("__n"), "left").withColumn(name, F.coalesce("__r", name)).drop("__n", "__r")
+    return rows
+
+
+def _blocks(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of the members of a bucket with each other, dealt to (bucket, i, j) with i <= j: a bucket of m members has
+    m / BLOCK blocks, so that no task takes the square of a large bucket."""
+    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mixed = mixed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    left = mixed.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = mixed.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    return left.drop("block", "blocks"), right.drop("block", "blocks")
+
+
+def _linked(profiles: DataFrame, n: int, threshold: float) -> list[DataFrame]:
+    """The components of near duplicates, as levels of (node, root)."""
     # the class with the least weight of its own is the likeliest original: the first hub of its buckets
     met = profiles.select(F.struct("alone", "cls").alias("rank"), F.explode("bands").alias("bucket"))
     hubs = met.groupBy("bucket").agg(F.min("rank").alias("best"), F.min("rank.cls").alias("low"), F.max("rank.cls").alias("high")).where("low <> high")
     met = stored(met.join(hubs, "bucket").select("bucket", F.col("rank.cls").alias("cls"), "best", "low", "high"), "near-met")
     # each class with the best class it meets
     first = met.groupBy("cls").agg(F.min_by("best.cls", "best").alias("hub")).where("hub <> cls")
-    links = _verified(first.select(F.col("hub").alias("a"), F.col("cls").alias("b")), profiles, n, threshold)
-    roots = components(links)
-    met = met.withColumn("best", F.col("best.cls"))
-
-    def rooted(rows: DataFrame, column: str, name: str) -> DataFrame:
-        named = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-        return rows.join(named, F.col(column) == F.col("__n"), "left").withColumn(name, F.coalesce("__r", column)).drop("__n", "__r")
-
+    pairs = first.select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub").alias("ra"), F.col("cls").alias("rb"))
+    levels = [components(_verified(pairs, profiles, n, threshold))]
     # the best, the smallest and the largest of each bucket with those of other components
-    for hub in ("best", "low", "high"):
-        apart = rooted(rooted(met.where(F.col("cls") != F.col(hub)).select(hub, "cls").distinct(), "cls", "ra"), hub, "rb").where("ra <> rb")
-        links = links.unionByName(_verified(apart.select(F.col(hub).alias("a"), F.col("cls").alias("b")), profiles, n, threshold))
-        roots = components(links)
+    apart = met.select("cls", F.explode(F.array("best.cls", "low", "high")).alias("hub")).where("hub <> cls").distinct()
+    apart = _rooted(_rooted(apart, "hub", "ra", levels), "cls", "rb", levels).where("ra <> rb")
+    levels.append(components(_verified(apart.select(F.col("hub").alias("a"), F.col("cls").alias("b"), "ra", "rb"), profiles, n, threshold)))
     # what is left: members of one bucket in different components, as far as their caps allow the similarity
-    placed = rooted(met.select("bucket", "cls"), "cls", "root")
+    placed = _rooted(met.select("bucket", "cls"), "cls", "root", levels)
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     known = profiles.select(F.col("cls").alias("c"), "bands", "caps", "mass", ((1 - F.col("alone")) * F.col("mass")).alias("shared"))
-    placed = placed.join(mixed, "bucket").join(known, F.col("cls") == F.col("c")).drop("c")
-    placed = stored(placed, "near-mixed")
-    other = placed.select(F.col("bucket").alias("k"), F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("bands").alias("bands_b"),
-                          F.col("caps").alias("caps_b"), F.col("mass").alias("mass_b"), F.col("shared").alias("shared_b"))
+    placed = stored(placed.join(mixed, "bucket").join(known, F.col("cls") == F.col("c")).drop("c"), "near-mixed")
+    left, right = _blocks(placed)
+    other = right.select(F.col("bucket").alias("k"), F.col("i").alias("ki"), F.col("j").alias("kj"), F.col("cls").alias("b"), F.col("root").alias("rb"),
+                         F.col("bands").alias("bands_b"), F.col("caps").alias("caps_b"), F.col("mass").alias("mass_b"), F.col("shared").alias("shared_b"))
     # the cheap bound by whole shared weights comes first; a fold over the caps stays small enough to be compiled
     bound = F.lit(threshold * (1 - 1e-9)) * (F.col("mass") + F.col("mass_b"))
     whole = F.least("shared", "shared_b") * (1 + threshold) >= bound
     common = F.aggregate(F.zip_with("caps", "caps_b", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
-    rest = placed.join(other, (F.col("bucket") == F.col("k")) & (F.col("root") < F.col("rb")) & whole & (common * (1 + threshold) >= bound)
-                       & (F.array_intersect("bands", "bands_b")[0] == F.col("bucket")))
-    return components(links.unionByName(_verified(rest.select(F.col("cls").alias("a"), "b"), profiles, n, threshold)))
+    once = (F.col("root") != F.col("rb")) & ((F.col("i") < F.col("j")) | (F.col("cls") < F.col("b")))
+    rest = left.join(other, (F.col("bucket") == F.col("k")) & (F.col("i") == F.col("ki")) & (F.col("j") == F.col("kj")) & once & whole
+                     & (common * (1 + threshold) >= bound) & (F.array_intersect("bands", "bands_b")[0] == F.col("bucket")))
+    levels.append(components(_verified(rest.select(F.col("cls").alias("a"), "b", F.col("root").alias("ra"), "rb"), profiles, n, threshold)))
+    return levels
 
 
 # ---- the operator ---------------------------------------------------------------------------------------------
@@ -272,10 +288,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
     profiles = shared.groupBy("part").applyInArrow(
         _profiles(max(n, 1), threshold), "cls long, hashes binary, dfs binary, tfs binary, mass double, alone double, bands array<long>, caps array<double>")
     profiles = stored(profiles, "near-profiles")
-    roots = _linked(profiles, max(n, 1), threshold)
+    levels = _linked(profiles, max(n, 1), threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("first")
     classes = stored(rows.groupBy("key").agg(first), "near-classes")
-    named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", F.col("first").alias("own"), F.coalesce("root", "key").alias("root"))
+    named = _rooted(classes, "key", "root", levels).select("key", F.col("first").alias("own"), "root")
     groups = named.groupBy("root").agg(F.min("own").alias("best"))
     named = named.join(groups, "root").select(F.col("key").alias("k"), F.col("own.doc_id").alias("class_id"), F.col("best.doc_id").alias("group_id"), F.col("best.uid").alias("best"))
     return rows.join(named, F.col("key") == F.col("k")).select(
