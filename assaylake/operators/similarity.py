@@ -177,7 +177,7 @@ def max_cross_jaccard(members: DataFrame, sets: DataFrame, k: int, train: str =
     """One row: the largest Jaccard between a train profile and any other, and the pair that has it.
 
     `members` is (rep, split) with repeats. Exact in two steps: hub pairs across the border give a lower
-    bound (the likeliest few are enough for that), then the prefix join over all rows runs at that bound,
+    bound (all of them, linear in number), then the prefix join over all rows runs at that bound,
     which keeps it short when near copies cross the border.
     """
     sides = members.groupBy(F.col("rep").alias("id")).agg(
@@ -192,7 +192,7 @@ def max_cross_jaccard(members: DataFrame, sets: DataFrame, k: int, train: str =
     met = salted_join(rows, hubs.where("hub_train IS NOT NULL AND hub_other IS NOT NULL"), "h")
     pairs = met.groupBy(F.when(F.col("in_train"), F.col("id")).otherwise(F.col("hub_train")).alias("a"),
                         F.when(F.col("in_train"), F.col("hub_other")).otherwise(F.col("id")).alias("b")).agg(
-        F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a", "b").limit(BLOCK).select("a", "b")
+        F.count(F.lit(1)).alias("n")).select("a", "b")
     best = jaccard_of(pairs, known, k).orderBy(F.desc("jaccard"), "a", "b").select("overlap", "union").first()
     t = Fraction(best["overlap"], best["union"]) if best and best["overlap"] else Fraction(0)
     prefix = prefix_rows(known, t, k).join(known.select("id", "in_train"), "id")

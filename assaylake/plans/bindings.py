@@ -103,19 +103,34 @@ MEASURES = """measures AS (SELECT l_partkey AS key, l_extendedprice AS y, l_orde
   l_quantity AS quantity FROM lineitem)"""
 
 
+def order_sets(spark: SparkSession, sf_dir: str, *cuts: str) -> list[DataFrame]:
+    """All orders, cut at the given dates into data sets of labels per customer; orders without a date are in the first."""
+    orders = table(spark, sf_dir, "orders")
+    era = sum((F.coalesce(F.col("o_orderdate") >= F.lit(c).cast("timestamp"), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    return [orders.where(era == k).select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("y")) for k in range(len(cuts) + 1)]
+
+
+def sets_sql(*cuts: str) -> str:
+    era = " + ".join(f"CAST(coalesce(o_orderdate >= TIMESTAMP '{c}', false) AS INTEGER)" for c in cuts)
+    return ", ".join(f"set_{name} AS (SELECT o_custkey AS key, o_totalprice AS y FROM orders WHERE {era} = {k})"
+                     for k, name in zip(range(len(cuts) + 1), "abc"))
+
+
+TWO_SETS = ("1998-01-01",)
+SETS = sets_sql(*TWO_SETS)
+
+
 def year_set(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """One label per customer: the mean order total of one year."""
+    """The orders of one year as labels per customer."""
     orders = table(spark, sf_dir, "orders").where(
         (F.col("o_orderdate") >= f"{year}-01-01") & (F.col("o_orderdate") < f"{year + 1}-01-01"))
     return orders.select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("y"))
 
 
-def _year_sql(name: str, year: int) -> str:
-    return (f"{name} AS (SELECT o_custkey AS key, o_totalprice AS y FROM orders "
-            f"WHERE o_orderdate >= TIMESTAMP '{year}-01-01' AND o_orderdate < TIMESTAMP '{year + 1}-01-01')")
-
-
-SETS = _year_sql("set_a", 1996) + ", " + _year_sql("set_b", 1997)
+YEAR_SETS = ", ".join(
+    f"{name} AS (SELECT o_custkey AS key, o_totalprice AS y FROM orders "
+    f"WHERE o_orderdate >= TIMESTAMP '{year}-01-01' AND o_orderdate < TIMESTAMP '{year + 1}-01-01')"
+    for name, year in (("set_a", 1996), ("set_b", 1997), ("set_c", 1998)))
 
 
 def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:

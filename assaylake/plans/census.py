@@ -105,14 +105,14 @@ i AS (SELECT key FROM a INTERSECT SELECT key FROM b)
 SELECT na AS n_a, nb AS n_b, ni AS n_both, round(ni / na, 6) AS share_of_a, round(ni / nb, 6) AS share_of_b, nb - ni AS n_b_only
 FROM (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM i) AS ni)""")
 def dataset_overlap(spark, d):
-    return rounded(Rep.dataset_overlap(B.year_set(spark, d, 1996), B.year_set(spark, d, 1997)))
+    return rounded(Rep.dataset_overlap(*B.order_sets(spark, d, *B.TWO_SETS)))
 
 
 @query("label_agreement", f"""WITH {B.SETS}, a AS (SELECT key, avg(y) AS y FROM set_a GROUP BY key),
 b AS (SELECT key, avg(y) AS y FROM set_b GROUP BY key), j AS (SELECT abs(a.y - b.y) AS d FROM a JOIN b USING (key))
 SELECT count(*) AS n_shared, round(max(d), 4) AS max_diff, count(*) FILTER (d < 1e-4) AS n_equal, round(median(d), 4) AS median_diff FROM j""")
 def label_agreement(spark, d):
-    return rounded(Rep.label_agreement(B.year_set(spark, d, 1996), B.year_set(spark, d, 1997)), 4)
+    return rounded(Rep.label_agreement(*B.order_sets(spark, d, *B.TWO_SETS)), 4)
 
 
 @query("floor_census", f"""WITH {B.ASSAY}

@@ -64,7 +64,7 @@ def leakage_contrast(spark, d):
 def feature_ablation(spark, d):
     docs = B.profiles(spark, d).where(F.length("key") >= R.SCORING_MIN_LEN).select("doc_id", "key", F.log10("y").alias("y"))
     rows = X.physchem_block(X.dpc_block(X.aac_block(docs)))
-    rows = X.attach_embeddings(rows.withColumnsRenamed({"key": "seq", "doc_id": "key"}), B.store(spark, d), missing="drop")
+    rows = X.attach_embeddings(rows.withColumnsRenamed({"key": "seq", "doc_id": "key"}), B.store(spark, d), missing="zero", dim=64)
     rows = Sp.unique_key_split(X.array_block(rows, "emb", "emb_block"), "seq").persist()
     return rounded(L.feature_ablation(rows, {
         "aac": ["aac"], "aac+physchem": ["aac", "physchem"], "aac+dpc+physchem": ["aac", "dpc", "physchem"],
@@ -142,12 +142,3 @@ def score_rows(spark, d):
 def score_report(spark, d):
     report = Sc.score_report(Sc.score_rows(scoring_rows(spark, d), endpoint_models(spark, d)))
     return report.select("row_id", "n_ok", F.array_join("endpoints", ",").alias("endpoints"))
-
-
-@query("similar_pairs_lsh")
-def similar_pairs_lsh(spark, d):
-    """Approximate version: hash-sketch hub pairs, exactly checked. A subset of `similar_pairs`."""
-    _, sets = _sets(spark, d)
-    t = Sim.as_fraction(T)
-    found = Sim.jaccard_of(Sim.hub_pairs(sets, t, K), sets, K).where(Sim.at_least(t))
-    return rounded(found.select("a", "b", "overlap", "jaccard"))

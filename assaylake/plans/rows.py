@@ -110,7 +110,7 @@ def embedding_store(spark, d):
                      F.round(F.element_at("emb", -1).cast("double"), 6).alias("last"))
 
 
-@query("external_union", f"""WITH {B.SETS}, {B._year_sql('set_c', 1998)}, u AS (
+@query("external_union", f"""WITH {B.YEAR_SETS}, u AS (
   SELECT *, 'own' AS origin FROM set_a UNION ALL SELECT *, 'train' FROM set_b UNION ALL SELECT *, 'val' FROM set_c)
 SELECT origin, key, count(*) AS n, round(avg(y), 4) AS mean_y FROM u GROUP BY 1, 2""")
 def external_union(spark, d):
@@ -336,17 +336,17 @@ def novel_keys(spark, d):
 
 
 @query("concat_blocks", f"""WITH {B.PROFILES}, j AS (
-  SELECT doc_id, key, embedding FROM profiles JOIN embeddings ON vec_id = doc_id WHERE length(key) >= 3)
+  SELECT doc_id, key, embedding FROM profiles LEFT JOIN embeddings ON vec_id = doc_id WHERE length(key) >= 3)
 SELECT doc_id, CAST(428 + 64 AS INTEGER) AS dim,
   round((length(key) - length(replace(key, 'A', ''))) / length(key), 6) AS first,
-  round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM j""")
+  round(coalesce(CAST(embedding[64] AS DOUBLE), 0), 6) AS last, embedding IS NOT NULL AS has_emb FROM j""")
 def concat_blocks(spark, d):
     rows = B.profiles(spark, d).where(F.length("key") >= R.SCORING_MIN_LEN).withColumnRenamed("key", "seq")
-    rows = X.attach_embeddings(rows.select(F.col("doc_id").alias("key"), "seq"), B.store(spark, d), missing="drop")
+    rows = X.attach_embeddings(rows.select(F.col("doc_id").alias("key"), "seq"), B.store(spark, d), missing="zero", dim=64)
     rows = X.array_block(X.sequence_vector(rows, "seq", "seq_block"), "emb", "emb_block")
     out = X.concat_blocks(rows, ["seq_block", "emb_block"]).withColumn("v", vector_to_array("features"))
     return out.select(F.col("key").alias("doc_id"), "dim", F.round(F.get("v", F.lit(0)), 6).alias("first"),
-                      F.round(F.element_at("v", -1), 6).alias("last"))
+                      F.round(F.element_at("v", -1), 6).alias("last"), "has_emb")
 
 
 @query("standardize", """WITH long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS idx FROM embeddings),

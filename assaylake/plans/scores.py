@@ -171,8 +171,8 @@ def leaderboard(spark, d):
     return rounded(M.leaderboard(per_seed(spark, d).drop("rmse"), ["grp", "seed"], "r2", 0.9, 5))
 
 
-_ENDPOINT = {"Hemolysis": "click", "Half_life": "view", "Caco2": "purchase", "PAMPA_MDCK": "signup"}
-_MAP = ", ".join(f"('{e}', '{g}')" for e, g in _ENDPOINT.items())
+_ENDPOINT = {"click": "Hemolysis", "error": "Hemolysis", "view": "Half_life", "purchase": "Caco2", "signup": "PAMPA_MDCK"}
+_MAP = ", ".join(f"('{e}', '{g}')" for g, e in _ENDPOINT.items())
 _INFO = ", ".join(f"('{e.name}', '{e.kind}', '{e.modality}', {e.input_dim})" for e in R.ENDPOINTS)
 
 
@@ -183,8 +183,8 @@ m AS (SELECT endpoint, count(*) AS n, 1 - sum((y - pred) * (y - pred)) / (var_po
 SELECT i.endpoint, kind, modality, CAST(input_dim AS INTEGER) AS input_dim, n, CASE WHEN kind = 'binary' THEN 'AUC' ELSE 'R2' END AS primary_metric_name,
   round(CASE WHEN kind = 'binary' THEN auc ELSE r2 END, 6) AS primary_metric FROM info i JOIN m ON m.endpoint = i.endpoint JOIN a ON a.endpoint = i.endpoint""")
 def endpoint_summary(spark, d):
-    """Each event type of the test split stands for one endpoint."""
-    name = F.create_map(*[F.lit(x) for e, g in _ENDPOINT.items() for x in (g, e)])
+    """The event types of the test split stand for endpoints."""
+    name = F.create_map(*[F.lit(x) for pair in _ENDPOINT.items() for x in pair])
     rows = flagged(spark, d).where("split = 'test'").withColumn("endpoint", name[F.col("grp")]).where("endpoint IS NOT NULL")
     return rounded(M.endpoint_summary(R.endpoints_frame(spark), M.binary_metrics(rows, "flag", "p_floor", ["endpoint"]),
                                       M.regression_metrics(rows, by=["endpoint"])))
