@@ -81,11 +81,11 @@ def one_per_key(store: DataFrame, key: str = "key", value: str = "emb") -> DataF
 
 def attach_embeddings(rows: DataFrame, store: DataFrame, key: str = "key", missing: str = "error",
                       value: str = "emb", dim: int | None = None) -> DataFrame:
-    """Many-to-one join of rows with the store; hot keys are salted. Every row stays: a missing key fails the job
-    (missing="error"), is left NULL ("null") or gets `dim` zeros and has_emb = false ("zero")."""
-    if missing not in ("error", "null", "zero") or (missing == "zero") != (dim is not None):
-        raise ValueError("missing must be error, null or zero; zero needs dim, the width of the store")
-    joined = salted_join(rows, one_per_key(store, key, value), key, "left")
+    """Many-to-one join of rows with the store; hot keys are salted. A missing key fails the job (missing="error"),
+    is left NULL ("null"), gets `dim` zeros and has_emb = false ("zero") or, if the caller asks for it, drops the row ("drop")."""
+    if missing not in ("error", "null", "zero", "drop") or (missing == "zero") != (dim is not None):
+        raise ValueError("missing must be error, null, zero or drop; zero needs dim, the width of the store")
+    joined = salted_join(rows, one_per_key(store, key, value), key, "inner" if missing == "drop" else "left")
     if missing == "zero":
         zeros = F.array_repeat(F.lit(0.0), dim).cast(store.schema[value].dataType)
         joined = joined.withColumn("has_emb", F.col(value).isNotNull()).withColumn(value, F.coalesce(value, zeros))
