@@ -142,6 +142,32 @@ def test_perplexity_equals_a_plain_model(spark, monkeypatch):
     assert all(r["kept"] for r in quality.scored(docs, trusted.where("false")).collect())
 
 
+def test_rare_language_is_sampled_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 20)
+    monkeypatch.setattr(quality, "TRAIN_PER_LANG", 10)
+    monkeypatch.setattr(quality, "LANG_FLOOR", 10)
+    rng = np.random.default_rng(5)
+    words = {"en": ["e%d" % k for k in range(20)], "is": ["i%d" % k for k in range(20)]}
+    rows = [(i, " ".join(rng.choice(words[lang], 40)), lang, 0) for lang, ids in (("en", range(20_000)), ("is", range(30_000, 30_012))) for i in ids]
+    rows += [(40_000 + i, " ".join("junk%d" % x for x in rng.integers(0, 10**6, 40)), lang, 0) for i, lang in enumerate(["en", "is"] * 5)]
+    rows += [(50_000, rows[0][1], "two", 0), (50_001, rows[1][1], "two", 0), (50_002, "x " * 60, "two", 0), (50_003, "one", "one", 0)]
+    docs = frame(spark, rows)
+    trusted = docs.where("doc_id < 40000 or doc_id in (50000, 50001, 50003)").select("doc_id")
+    drawn = quality.training_ids(docs, trusted).join(docs, "doc_id").groupBy("lang").count()
+    drawn = {r["lang"]: r["count"] for r in drawn.collect()}
+    assert 1 <= drawn["is"] <= 11 and 1 <= drawn["en"] < 40 and drawn["two"] == 1 and "one" not in drawn
+    got = {r["doc_id"]: r for r in quality.scored(docs, trusted).collect()}
+    assert not any(got[40_000 + i]["kept"] for i in range(10))
+    assert got[50_002]["threshold"] is not None and got[50_003]["threshold"] is None and got[50_003]["kept"]
+
+
+def test_level_lowers_only_large_languages():
+    assert quality.sample_level([(300.0, 2), (50.0, 3)]) == 300
+    assert quality.sample_level([(300.0, 4), (20.0, 2)]) == 240
+    assert quality.sample_level([(300.0, 40), (20.0, 2)]) == quality.LANG_FLOOR
+    assert quality.sample_level([]) == 300
+
+
 def test_junk_is_rejected_and_clean_text_kept(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
