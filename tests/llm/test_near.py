@@ -178,6 +178,28 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert share(1) > 0.93 and share(0) < 0.6
 
 
+def test_distinct_words_of_windows():
+    texts = ["", "a", "a A b", "x " * 64 + "x y", " ".join("w%d" % (k % 100) for k in range(300))]
+    words, offsets = quality.padded(texts, quality._lang_hash(["en"] * len(texts)))
+    plain = [[*t.lower().split(), "</s>"] for t in texts]
+    want = [sum(len(set(w[i:i + 64])) for i in range(0, len(w), 64)) for w in plain]
+    assert quality.distinct_words(words, offsets).tolist() == want
+    assert quality.distinct_words(*quality.padded([], np.zeros(0, np.uint64))).tolist() == []
+
+
+def test_repetition_is_rejected(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = F.col("doc_id") % 2 == 0
+    made = docs.where("doc_id < 200 and lang = 'en'").withColumns({"doc_id": F.col("doc_id") + 10**8, "text": F.concat(F.repeat(F.lit("The for "), 300), F.substring("text", 1, 40))})
+    found = quality.scored(docs.unionByName(made), labels.where("quality = 1").where(~held_out)).join(labels.where(held_out), "doc_id", "left").where("quality is not null or doc_id >= 100000000")
+    rows = found.select("doc_id", "quality", "kept").collect()
+    share = lambda q: np.mean([r["kept"] for r in rows if r["quality"] == q])
+    assert share(1) > 0.93 and share(0) < 0.15
+    repeated = [r["kept"] for r in rows if r["doc_id"] >= 10**8]
+    assert repeated and not any(repeated)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_stages(spark, sf_dir, empty):
     docs = table(spark, sf_dir, "documents")
