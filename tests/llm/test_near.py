@@ -178,6 +178,21 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert share(1) > 0.93 and share(0) < 0.6
 
 
+def test_counts_beyond_16_bits(spark):
+    rng = np.random.default_rng(6)
+    words = ["w%d" % k for k in range(30)]
+    rows = [(i, " ".join(rng.choice(words, 20)), "en", 0) for i in range(40)]
+    rows += [(100, "w1 " * 100_000, "en", 0), (101, "w1 w2 " * 70_000 + "w3", "en", 0), (102, "w4 " * 65_535, "en", 0)]
+    docs, trusted = frame(spark, rows), spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    chosen = {r["doc_id"] for r in quality.training_ids(docs, trusted).collect()}
+    model = Plain([t for d, t, *_ in rows if d in chosen])
+    rest = [t for d, t, *_ in rows if d < 40 and d not in chosen]
+    mean = -sum(map(model.log, rest)) / sum(len(t.split()) + 1 for t in rest)
+    got = {r["doc_id"]: r["perplexity"] for r in quality.scored(docs, trusted).collect()}
+    for d, t, *_ in rows[40:]:
+        assert got[d] == pytest.approx(math.exp((-model.log(t) + 30 * mean) / (len(t.split()) + 31)), rel=1e-6)
+
+
 def test_distinct_words_of_windows():
     texts = ["", "a", "a A b", "x " * 64 + "x y", " ".join("w%d" % (k % 100) for k in range(300))]
     words, offsets = quality.padded(texts, quality._lang_hash(["en"] * len(texts)))
