@@ -15,20 +15,25 @@ from .similar import K, T, _sets, controlled
 SEEDS = (42, 123, 456, 789, 1024)
 
 
+def sized(spark, d):
+    """All documents with the 428 sequence features of the whole text and log size; the quality label where there is one."""
+    marks = B.table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    docs = B.profiles(spark, d).where(F.length("key") >= R.SCORING_MIN_LEN).join(marks, "doc_id", "left")
+    return X.sequence_vector(docs.select("doc_id", "key", "label", F.log10("y").alias("y")), "key", Sc.SEQ_FEATURES)
+
+
 def labelled(spark, d):
-    """Labelled documents with the 428 sequence features of the whole text, the quality label and log size."""
-    docs = B.profiles(spark, d).join(B.table(spark, d, "labels"), "doc_id").where(F.length("key") >= R.SCORING_MIN_LEN)
-    rows = docs.select("doc_id", "key", F.col("quality").cast("double").alias("label"), F.log10("y").alias("y"))
-    return X.sequence_vector(rows, "key", Sc.SEQ_FEATURES)
+    """The documents of `sized` with a label row: what a binary fit can learn from."""
+    return sized(spark, d).join(B.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
-def with_split(spark, d):
-    return Sp.unique_key_split(labelled(spark, d)).persist()
+def with_split(rows):
+    return Sp.unique_key_split(rows).persist()
 
 
 @query("fit_binary")
 def fit_binary(spark, d):
-    rows = with_split(spark, d)
+    rows = with_split(labelled(spark, d))
     model = L.fit_binary(rows.where("split = 'train'"), Sc.SEQ_FEATURES, "label")
     scored = L.predictions(model, rows, ["label", "split"], R.BINARY)
     return rounded(M.binary_metrics(scored, "label", "pred", ["split"]))
@@ -36,7 +41,7 @@ def fit_binary(spark, d):
 
 @query("fit_regression")
 def fit_regression(spark, d):
-    rows = with_split(spark, d)
+    rows = with_split(sized(spark, d))
     parts = []
     for loss in ("squared", "huber"):
         model = L.fit_regression(rows.where("split = 'train'"), Sc.SEQ_FEATURES, "y", loss=loss)
@@ -48,7 +53,7 @@ def fit_regression(spark, d):
 @query("leakage_contrast")
 def leakage_contrast(spark, d):
     """The same regression under the family split and under a random row split."""
-    base = labelled(spark, d)
+    base = sized(spark, d)
     fam = base.join(controlled(spark, d).select("doc_id", "split"), "doc_id")
     rnd = Sp.random_row_split(base.select("doc_id"), "doc_id").join(base, "doc_id")
     runs = []
@@ -73,7 +78,7 @@ def feature_ablation(spark, d):
 
 @query("boosted_grid")
 def boosted_grid(spark, d):
-    rows = X.aac_block(labelled(spark, d), "key", "aac")
+    rows = X.aac_block(sized(spark, d), "key", "aac")
     rows = Sp.unique_key_split(rows.select("doc_id", "key", "y", "aac")).persist()
     grid = [{"maxDepth": depth, "stepSize": step, "maxIter": 10} for depth in (2, 4) for step in (0.05, 0.2)]
     return rounded(M.leaderboard(L.boosted_grid(rows, "aac", grid), ["config"], "r2_val"))
@@ -112,13 +117,14 @@ def rank_ensemble(spark, d):
 
 def endpoint_models(spark, d):
     """One model per endpoint: documents stand for sequence endpoints, product names for molecular ones."""
-    seq = labelled(spark, d).persist()
+    seq = sized(spark, d).persist()
     parts = B.table(spark, d, "part").select(F.col("p_name").alias("key"), F.log10("p_retailprice").alias("y"))
     mol = X.fingerprint_block(parts, "key", 2, Sc.MOL_FEATURES).persist()
     models = {}
     for ep in R.ENDPOINTS:
         rows, col = (seq, Sc.SEQ_FEATURES) if ep.modality == R.SEQUENCE else (mol, Sc.MOL_FEATURES)
-        models[ep.name] = L.fit_endpoint(rows, ep, col, "label" if ep.kind == R.BINARY else "y", "squared")
+        label = "label" if ep.kind == R.BINARY else "y"
+        models[ep.name] = L.fit_endpoint(rows.where(F.col(label).isNotNull()), ep, col, label, "squared")
     return models
 
 

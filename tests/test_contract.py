@@ -11,7 +11,7 @@ import oracle_check as O
 from assaylake import registry as R
 from assaylake.functions import clean as C
 from assaylake.operators import models as L, scoring as Sc
-from assaylake.plans import bindings as B, catalog
+from assaylake.plans import bindings as B, catalog, learn
 from assaylake.session import ensure_checkpoint_dir
 from assaylake.streaming import rowlocal
 
@@ -37,6 +37,17 @@ def test_plans_stay_in_the_jvm(spark, sf_dir, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_regressions_read_every_document(spark, sf_dir):
+    long_enough = F.length("key") >= R.SCORING_MIN_LEN
+    want = B.profiles(spark, sf_dir).where(long_enough).count()
+    marked = B.profiles(spark, sf_dir).where(long_enough).join(B.table(spark, sf_dir, "labels"), "doc_id").count()
+    assert marked < want
+    rows = QUERIES["fit_regression"](spark, sf_dir).groupBy("loss").agg(F.sum("n").alias("n")).collect()
+    assert {r["loss"]: r["n"] for r in rows} == {"squared": want, "huber": want}
+    base = learn.sized(spark, sf_dir)
+    assert base.count() == want and learn.labelled(spark, sf_dir).count() == marked
+
+
 def test_scan_reads_only_needed_columns(spark, sf_dir):
     plan = QUERIES["regression_metrics"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in re.findall(r"ReadSchema: [^\n]*", plan)[0]
