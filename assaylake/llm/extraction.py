@@ -10,7 +10,7 @@ class, id or role words of adverts, notices, comments and the like go, recurring
 has `article` or `main` elements, its text is what lies in them. In these, headings and paragraphs stay even if they recur, unless half of
 their letters are links: passages quoted on many pages and copies of an article are content. Other elements there, and everything on pages
 without such elements, are subject to the count; inline elements stay or go with their block. Only pages with such elements are joined with the templates; all
-others are finished where they are parsed.
+others are finished where they are parsed. A subtree recurs at least as often as one around it, so a block is judged by the innermost.
 
 Defined cases: a null or empty page gives an empty text; a null or malformed address is host ''; each row is a page, also with a repeated
 or null id; broken markup is closed as browsers do; a character reference without a meaning stays as it is; an empty table gives no rows;
@@ -31,6 +31,8 @@ from ..operators.joins import hot_of_counts, salted_join
 from .common import slices, stored, text_of
 
 MIN_PAGES, MIN_SHARE = 4, 1
+#: Deeper elements stand beside each other in the one of this depth, as in browsers; no text is lost.
+DEPTH = 512
 
 # ---- fixed values of HTML ----------------------------------------------------------------------------------------
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -60,10 +62,11 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("name", "up", "marked", "main", "names", "parts", "text_size", "link_size", "hash", "prose")
+    __slots__ = ("name", "up", "depth", "marked", "main", "names", "parts", "text_size", "link_size", "hash", "prose")
 
     def __init__(self, name: str, up: "Element | None", names: str = "", marked: bool = False, main: bool = False):
         self.name, self.up, self.names, self.marked, self.main = name, up, names, marked, main
+        self.depth = up.depth + 1 if up else 0
         self.parts: list = []  # texts and elements in order
         self.text_size = self.link_size = 0
         self.prose, self.hash = False, 0
@@ -92,7 +95,7 @@ def _element(name: str, attributes: str, up: Element) -> Element:
 def parse(html: str) -> Element:
     """The tree of a page. Start tags end what browsers let them end; an end tag without a start is dropped."""
     root = at = Element("#page", None)
-    end, pos = len(html), 0
+    end, pos, seen = len(html), 0, set()
     while pos < end:
         tag = html.find("<", pos)
         if tag < 0:
@@ -111,14 +114,15 @@ def parse(html: str) -> Element:
             name = name.lower()
             if at.name == "head" and name not in HEAD_ONLY and name != "head":
                 at = at.up
-            if name in ("html", "body") and any(e.name == name for e in _above(at)):
+            if name in ("html", "body") and name in seen:
                 continue
-            if name in CLOSES_P:
+            if name in CLOSES_P and "p" in seen:
                 at = _closed(at, {"p"}, {"button", "table", "td", "th", "caption", "object"})
-                if name in HEADINGS and at.name in HEADINGS:
-                    at = at.up
-            if name in SIBLINGS:
+            if name in HEADINGS and at.name in HEADINGS:
+                at = at.up
+            if name in SIBLINGS and not seen.isdisjoint(SIBLINGS[name][0]):
                 at = _closed(at, *SIBLINGS[name])
+            seen.add(name)  # a name that never began need not be looked for
             new = _element(name, found[2].strip(), at)
             at.parts.append(new)
             if name in RAW:
@@ -126,13 +130,13 @@ def parse(html: str) -> Element:
                 if name in ("textarea", "title"):
                     new.parts.append(html[pos:close.start() if close else end])
                 pos = close.end() if close else end
-            elif name not in VOID and not found[2].rstrip().endswith("/") or name in ("p", "div", "a", "b", "i", "span", "li"):
+            elif at.depth < DEPTH and name not in VOID and not found[2].rstrip().endswith("/") or at.depth < DEPTH and name in ("p", "div", "a", "b", "i", "span", "li"):
                 at = new
         elif found[3]:
             name = found[3].lower()
             if name == "br":
                 at.parts.append(Element("br", at, marked=at.marked, main=at.main))
-            elif name not in ("body", "html"):  # what follows these belongs to the page all the same
+            elif name in seen and name not in ("body", "html"):  # what follows these belongs to the page all the same
                 for e in _above(at):
                     if e.name == name:
                         at = e.up
@@ -187,12 +191,12 @@ def _finish(root: Element) -> list[Element]:
     return order
 
 
-def blocks(root: Element) -> list[tuple[str, list[int]]]:
-    """The blocks of the main text in page order, each with the hashes of the subtrees around it that the count may take away."""
+def blocks(root: Element) -> list[tuple[str, int | None]]:
+    """The blocks of the main text in page order, each with the hash of the innermost subtree around it that the count may take away."""
     has_main = any(e.main for e in _finish(root))
-    out: list[tuple[str, list[int]]] = []
+    out: list[tuple[str, int | None]] = []
     run: list[str] = []
-    under: list[list[int]] = [[]]
+    under: list[int | None] = [None]
 
     def flush():
         if run:
@@ -224,7 +228,7 @@ def blocks(root: Element) -> list[tuple[str, list[int]]]:
             linked = 2 * p.link_size > p.text_size
             open_ = block and p.text_size > 0 and not (has_main and p.prose and not linked)
             if open_:
-                under.append([*under[-1], p.hash])
+                under.append(p.hash)
             todo.append((open_, block))
             todo.extend(reversed(p.parts))
         elif p.name in BLOCKS:
@@ -258,13 +262,13 @@ def parsed(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
                 body.append(root.hash)
                 subtrees.append(list(elements))
                 found.append([{"text": t, "under": u} for t, u in cells])
-            kind = pa.list_(pa.struct([("text", pa.string()), ("under", pa.list_(pa.int64()))]))
+            kind = pa.list_(pa.struct([("text", pa.string()), ("under", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(body, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(found, kind)],
                 names=["page_id", "url", "host", "body", "subtrees", "blocks"])
 
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host_of(url).alias("host"), text_of(html).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, host string, body long, subtrees array<long>, blocks array<struct<text: string, under: array<long>>>")
+    return rows.mapInArrow(run, "page_id long, url string, host string, body long, subtrees array<long>, blocks array<struct<text: string, under: long>>")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -282,7 +286,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
     """One row per page: page_id, url, text, n_chars."""
     rows = stored(parsed(pages, html, url, page_id).withColumn("uid", F.monotonically_increasing_id()), "html-parsed")
     found = stored(templates(rows, min_pages, min_share).select(F.col("host").alias("t_host"), F.col("subtree").alias("t_subtree")), "html-templates")
-    subject = F.flatten(F.col("blocks.under"))
+    subject = F.filter("blocks.under", lambda h: h.isNotNull())
     exposed = rows.select("uid", "host", F.explode(F.array_distinct(subject)).alias("subtree"))
     # a subtree of all pages of a large host is a hot key: the rows, not the templates, are salted
     keyed = stored(exposed.select("uid", F.struct("host", "subtree").alias("key")), "html-exposed")
@@ -290,7 +294,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
     hot = hot_of_counts(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "n")
     gone = salted_join(keyed, lookup, "key", hot=hot).groupBy("uid").agg(F.collect_set("key.subtree").alias("gone")).withColumnRenamed("uid", "u")
     touched = rows.where(F.size(subject) > 0).join(gone, F.col("uid") == F.col("u"), "left")
-    stay = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["under"], F.col("gone")), F.lit(False)))
+    stay = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("gone", b["under"]), F.lit(False)))
     texts = rows.where(F.size(subject) <= 0).select("page_id", "url", F.col("blocks.text").alias("texts")).unionByName(
         touched.select("page_id", "url", F.transform(stay, lambda b: b["text"]).alias("texts")))
     text = F.array_join("texts", "\n\n")

@@ -119,7 +119,7 @@ def test_single_pages(spark):
 
 def test_long_and_deep_pages(spark):
     assert one(spark, "<article>" + "<p>word" * 50_000 + "</article>") == "\n\n".join(["word"] * 50_000)
-    assert one(spark, "<div>" * 30_000 + "x") == "x" and one(spark, "<a <b \"" * 30_000) == ""
+    assert one(spark, "<div>" * 30_000 + "x" + "<p>y" * 2000) == "\n\n".join(["x"] + ["y"] * 2000) and one(spark, "<a <b \"" * 30_000) == ""
     assert one(spark, "<p>" + "y" * 3_000_000) == "y" * 3_000_000
 
 
