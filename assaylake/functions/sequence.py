@@ -54,10 +54,15 @@ def _runs(ordered: Column) -> Column:
         (e - F.when(j == 0, F.lit(0)).otherwise(F.get(last, j - 1))).alias("n"))))
 
 
+def sorted_runs(ordered: Column, kind: str = "string") -> Column:
+    """Sorted token array -> array of (token, n)."""
+    nothing = F.array().cast(f"array<struct<token:{kind},n:int>>")
+    return bind(ordered, lambda o: F.when(F.size(o) > 0, _runs(o)).otherwise(nothing))
+
+
 def run_counts(tokens: Column) -> Column:
     """Token array -> sorted array of (token, n), counted inside the row, so no shuffle is needed."""
-    nothing = F.array().cast("array<struct<token:string,n:int>>")
-    return bind(F.sort_array(tokens), lambda o: F.when(F.size(o) > 0, _runs(o)).otherwise(nothing))
+    return sorted_runs(F.sort_array(tokens))
 
 
 def kmer_counts(s: Column, k: int = 3) -> Column:

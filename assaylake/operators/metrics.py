@@ -131,6 +131,21 @@ def confusion_at(df: DataFrame, thresholds: Sequence[float], y: str = "y", score
         "specificity": F.col("tn") / F.greatest(F.col("tn") + F.col("fp"), one)})
 
 
+def multiclass_confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: Iterable[str] = ()) -> DataFrame:
+    """Per class that occurs as label or prediction: support, n_predicted, hits, precision, recall, f1, and the accuracy of all. A row adds its
+    label and its prediction to one combined aggregate, whatever the number of classes."""
+    by = list(by)
+    hit = F.col(y).eqNullSafe(F.col(pred))
+    parts = F.array(F.struct(F.col(y).alias("class"), F.lit(1).alias("s"), F.lit(0).alias("p"), hit.cast("int").alias("h")),
+                    F.struct(F.col(pred).alias("class"), F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).alias("h")))
+    cells = df.select(*by, F.explode(parts).alias("e")).groupBy(*by, F.col("e.class").alias("class")).agg(
+        F.sum("e.s").alias("support"), F.sum("e.p").alias("n_predicted"), F.sum("e.h").alias("hits"))
+    precision, recall = (F.when(F.col(n) > 0, F.col("hits") / F.col(n)) for n in ("n_predicted", "support"))
+    total = grouped(df, by, [F.avg(hit.cast("double")).alias("accuracy")])
+    f1 = F.when(F.col("support") + F.col("n_predicted") > 0, 2 * F.col("hits") / (F.col("support") + F.col("n_predicted")))
+    return same_groups(cells.withColumns({"precision": precision, "recall": recall, "f1": f1}), total, by)
+
+
 def calibration_bins(df: DataFrame, bins: int = 5, y: str = "y", score: str = "score",
                      by: Iterable[str] = ()) -> DataFrame:
     """Quantile bins of the score: rows, observed positive share and mean score of every non-empty bin."""

@@ -1,4 +1,4 @@
-"""Fitting per endpoint with MLlib, ablations, grids, ensembles and the censored linear fit.
+"""Fitting per endpoint with MLlib, ablations, grids and ensembles. Linear, Huber and censored fits are in `linear`.
 
 The driver sees coefficients and scalar metrics only; rows stay in Spark.
 """
@@ -6,6 +6,7 @@ The driver sees coefficients and scalar metrics only; rows stay in Spark.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -14,8 +15,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import registry as R
-from ..functions import censored as T, normal as N
-from . import metrics as M
+from ..session import cut_lineage
+from . import linear as A, metrics as M
 from .censoring import rank_gaussian, rank_gaussian_inverse
 from .features import concat_blocks
 from .joins import salted_join
@@ -76,6 +77,17 @@ def predictions(model: PipelineModel, df: DataFrame, keep: Sequence[str], kind:
     return out.select(*keep, value.alias("pred"))
 
 
+def class_prediction(probability: Column) -> Column:
+    """Class id with the largest probability, the smallest id among equals."""
+    return F.array_position(probability, F.array_max(probability)).cast("int") - 1
+
+
+def class_predictions(model: PipelineModel, df: DataFrame, keep: Sequence[str], prefix: str = "") -> DataFrame:
+    """`keep` columns, `pred` (class id) and `probabilities` of a multiclass fit."""
+    out = model.transform(df).withColumn("probabilities", vector_to_array(F.col(f"{prefix}probability")))
+    return out.select(*keep, class_prediction(F.col("probabilities")).alias("pred"), "probabilities")
+
+
 def leakage_contrast(evaluated: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
     """(protocol, metric) rows -> controlled, random and the inflation by leakage."""
     def pick(name):
@@ -84,42 +96,59 @@ def leakage_contrast(evaluated: DataFrame, metric: str, by: Sequence[str] = ())
     return out.withColumn("inflation", F.col("random") - F.col("controlled"))
 
 
-def feature_ablation(df: DataFrame, configs: Mapping[str, Sequence[str]], label: str = "y", split: str = "split") -> DataFrame:
-    """The same regression and split over several block combinations: (config, dim, n, r2, rmse) on test rows."""
-    runs = None
-    for name, blocks in configs.items():
-        rows = concat_blocks(df, blocks, "__x")
-        model = fit_regression(rows.where(F.col(split) == "train"), "__x", label)
-        scored = model.transform(rows.where(F.col(split) == "test")).select(F.col(label).alias("y"), "prediction", "dim")
-        run = scored.groupBy("dim").agg(*M.regression_aggs(F.col("y"), F.col("prediction"))[:3])
-        run = run.select(F.lit(name).alias("config"), "dim", "n", "r2", "rmse")
-        runs = run if runs is None else runs.unionByName(run)
-    return runs
+def feature_ablation(df: DataFrame, blocks: Mapping[str, int], configs: Mapping[str, Sequence[str]], label: str = "y", split: str = "split",
+                     penalty: float = 1e-2) -> DataFrame:
+    """The same regression and split over several block combinations: (config, dim, n, r2, rmse) on test rows.
 
+    `blocks` are vector columns and their widths. All configurations are solved from one matrix of sums, and told on one of the test rows.
+    """
+    rows = concat_blocks(df, list(blocks), "__x")
+    found = A.ablation(rows, blocks, configs, "__x", label, split, penalty)
+    return df.sparkSession.createDataFrame([(c, d, n, None if r is None else float(r), float(e)) for c, d, n, r, e in found], "config string, dim int, n long, r2 double, rmse double")
+
+
+def staged_errors(model, rows: DataFrame, y: str) -> list[float]:
+    """Mean squared error of a boosted fit after each of its trees, in one pass over the rows."""
+    prediction, total, states = F.lit(0.0), [], rows
+    for k, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+        tree.setPredictionCol(f"__t{k}")
+        states = tree.transform(states)
+        prediction = prediction + F.col(f"__t{k}") * float(weight)
+        total.append(F.avg((F.col(y) - prediction) ** 2).alias(f"e{k}"))
+    return [float(e) for e in states.agg(*total).first()]
+
+
+def best_stage(errors: Sequence[float], patience: int) -> int:
+    """Number of trees with the least error before `patience` trees in a row brought no better one."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
 
-def boosted_grid(df: DataFrame, features: str, grid: Sequence[Mapping], label: str = "y", split: str = "split",
-                 seed: int = 42) -> DataFrame:
-    """Boosted-tree regressors with early stopping on the fixed validation split: (config, r2_val, r2_test).
 
-    Rank on `r2_val`; the test value is only reported.
+def boosted_grid(df: DataFrame, features: str, grid: Sequence[Mapping], label: str = "y", split: str = "split", seed: int = 42, trees: int = 20,
+                 patience: int = 10, side_by_side: int = 4) -> DataFrame:
+    """Boosted-tree regressors over a grid of tree parameters: (config, n_trees, r2_val, r2_test).
+
+    One fit of `trees` trees per setting; every smaller number of trees is read from the staged errors on the fixed validation split, where early
+    stopping with `patience` ends. Fits are submitted side by side. Rank on `r2_val`; the test value is only reported.
     """
-    rows = df.withColumn("__val", F.col(split) == "val")
-    learn = rows.where(F.col(split).isin("train", "val")).persist()
-    runs = None
-    for params in grid:
-        model = GBTRegressor(featuresCol=features, labelCol=label, seed=seed, validationIndicatorCol="__val",
-                             validationTol=1e-3, **params).fit(learn)
-        scored = model.transform(rows.where(F.col(split) != "train"))
-        y, p = F.col(label), F.col("prediction")
-
-        def r2(side):
-            hit = F.col(split) == side
-            a, b = F.when(hit, y), F.when(hit, p)
-            return (1.0 - F.sum((a - b) ** 2) / (F.var_pop(a) * F.count(a))).alias(f"r2_{side}")
-        name = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
-        run = scored.agg(r2("val"), r2("test")).select(F.lit(name).alias("config"), "r2_val", "r2_test")
-        runs = run if runs is None else runs.unionByName(run)
-    return runs
+    rows = cut_lineage(df.select(features, label, split))
+    spread = {r[split]: (r["v"], r["n"]) for r in rows.groupBy(split).agg(F.var_pop(label).alias("v"), F.count(label).alias("n")).collect()}
+
+    def one(params: Mapping) -> tuple:
+        model = GBTRegressor(featuresCol=features, labelCol=label, seed=seed, maxIter=trees, **params).fit(rows.where(F.col(split) == "train"))
+        count = best_stage(staged_errors(model, rows.where(F.col(split) == "val"), label), patience)
+        errors = {side: staged_errors(model, rows.where(F.col(split) == side), label)[count - 1] for side in ("val", "test")}
+        r2 = {side: 1.0 - e / spread[side][0] if side in spread and spread[side][0] else None for side, e in errors.items()}
+        return ",".join(f"{k}={v}" for k, v in sorted(params.items())), count, r2["val"], r2["test"]
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        runs = list(pool.map(one, grid))
+    return df.sparkSession.createDataFrame(runs, "config string, n_trees int, r2_val double, r2_test double")
 
 
 def seed_ensemble(preds: DataFrame, row_id: str = "row_id", y: str = "y", pred: str = "pred") -> DataFrame:
@@ -135,40 +164,6 @@ def rank_ensemble(preds: DataFrame, train_values: DataFrame, row_id: str = "row_
     return salted_join(mean, back.withColumnRenamed("value", "pred"), z)
 
 
-def tobit_fit(df: DataFrame, features: str, y: str = "y", floor: float = R.FLOOR, tolerance: float = 1e-3, most: int = 200):
-    """Linear censored regression by expectation-maximization: (model, sigma, history DataFrame).
-
-    E-step: censored labels become their conditional mean below the floor. M-step: least squares by normal
-    equations and a new sigma with the censored rows' remaining variance. Every round starts from the same
-    stored rows and the last model, so lineage does not grow. Rounds go on until sigma and the loss change by less than
-    `tolerance` of themselves; without convergence after `most` rounds the fit fails.
-    """
-    base = df.select(features, F.col(y).alias("__y"), (F.col(y) <= floor + R.FLOOR_TOLERANCE).alias("__c")).persist()
-    fit = LinearRegression(featuresCol=features, labelCol="__t", predictionCol="__f", solver="normal", regParam=0.0)
-    model = fit.fit(base.withColumn("__t", F.col("__y")))
-    sigma = model.transform(base).agg(F.sqrt(F.avg((F.col("__y") - F.col("__f")) ** 2))).first()[0]
-    history = []
-    for step in range(most):
-        f = F.col("__f")
-        filled = model.transform(base).withColumn(
-            "__t", F.when(F.col("__c"), T.censored_expectation(f, sigma, floor)).otherwise(F.col("__y"))).withColumn(
-            "__b", (F.lit(floor) - f) / sigma).drop("__f")
-        ratio = F.exp(-0.5 * F.col("__b") ** 2 - N.LOG_SQRT_2PI - N.log_cdf(F.col("__b")))
-        left = F.when(F.col("__c"), sigma ** 2 * (1.0 - F.col("__b") * ratio - ratio * ratio)).otherwise(0.0)
-        model = fit.fit(filled)
-        stats = model.transform(filled).agg(
-            F.sqrt(F.avg((F.col("__t") - F.col("__f")) ** 2 + left)).alias("sigma")).first()
-        sigma = float(stats["sigma"])
-        nll = model.transform(base).agg(F.avg(T.tobit_nll(F.col("__f"), F.col("__y"), sigma, floor))).first()[0]
-        history.append((step + 1, sigma, float(nll)))
-        if step and all(abs(a - b) <= tolerance * max(abs(b), 1e-12) for a, b in zip(history[-1][1:], history[-2][1:])):
-            break
-    else:
-        raise RuntimeError(f"the censored fit did not converge in {most} rounds")
-    base.unpersist()
-    return model, sigma, df.sparkSession.createDataFrame(history, "round int, sigma double, mean_nll double")
-
-
 def gaussian_targets(df: DataFrame, y: str = "y", split: str = "split") -> DataFrame:
     """Adds the train-fitted normal score `z` of the target."""
     scores = rank_gaussian(df, y, F.col(split) == "train").select(F.col("value").alias(y), "z")

@@ -94,26 +94,26 @@ def hash_order(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
-def permutation_rank(df: DataFrame, key: str, seed: int | str, buckets: int | None = None) -> DataFrame:
-    """One row per key -> adds `position` (0-based) in seeded pseudo-random order and `n_total`.
+def permutation_rank(df: DataFrame, key: str, seed: int | str, buckets: int | None = None, by: Iterable[str] = ()) -> DataFrame:
+    """One row per key -> adds `position` (0-based) in seeded pseudo-random order and `n_total`, of the whole table or per group.
 
-    Digests are uniform, so buckets are equal digest ranges and need no pass over the data.
+    Digests are uniform, so buckets are equal digest ranges and need no pass over the data; a group with most of the rows is spread over all of them.
     """
-    n = buckets or shuffle_partitions(df.sparkSession)
+    n, by = buckets or shuffle_partitions(df.sparkSession), list(by)
     span = 16 ** 8
     rows = df.withColumn("__digest", hash_order(F.col(key), seed))
     number = F.conv(F.substring("__digest", 1, 8), 16, 10).cast("double")
     rows = rows.withColumn(_BUCKET, F.floor(number * n / span).cast("double"))
-    w = Window.partitionBy(_BUCKET).orderBy("__digest", key)
+    w = Window.partitionBy(*by, _BUCKET).orderBy("__digest", key)
     rows = rows.withColumn("__in", F.row_number().over(w) - 1)
-    totals = rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = totals.select(
-        F.col(_BUCKET).alias("__b"),
-        F.coalesce(F.sum("__n").over(Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__off"),
-        F.sum("__n").over(Window.partitionBy()).alias("n_total"))
-    # at most `n` offset rows: bounded by the bucket count, so a broadcast is safe
-    joined = rows.join(F.broadcast(offsets), F.col(_BUCKET) == F.col("__b"))
+    totals = rows.groupBy(*by, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, _BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+                            F.sum("__n").over(Window.partitionBy(*by)).alias("n_total"))
+    if not by:
+        # at most `n` offset rows: bounded by the bucket count, so a broadcast is safe
+        offsets = F.broadcast(offsets)
+    joined = _lookup(rows, offsets, [*by, _BUCKET])
     return joined.select(*df.columns,
                          (F.col("__in") + F.col("__off")).cast("long").alias("position"), "n_total")
 

@@ -1,10 +1,11 @@
-"""Exact multiset Jaccard over k-mers: given pairs, threshold joins, cross-split maxima.
-
-Candidates come from an inverted index over prefixes: k-mers are ordered rarest first, and a pair with
-Jaccard >= t must share a k-mer within the first |a| - ceil(t |a|) + 1 tokens of both sides. Sizes and the
-overlap seen inside the prefixes prune before the exact check; thresholds are fractions, so every bound is whole-number
-arithmetic. Nothing is capped: hot lists are split into blocks, hot ids are salted. Between steps only
-texts and id pairs are stored; k-mers, about ten times the text, are made where they are used.
+"""Multiset Jaccard over k-mers: given pairs, threshold joins, cross-split maxima; exact, and an approximate join with banded sketches.
+
+Exact candidates come from an inverted index over prefixes: in any fixed order of k-mers, a pair with Jaccard >= t must share a
+k-mer within the first |a| - ceil(t |a|) + 1 tokens of both sides. The order is rarest first as far as a table of SLOTS hash slots tells,
+one byte each, whatever the data: a row finds its own prefix from it, so no vocabulary is counted and only prefix tokens move, as numbers of
+8 bytes. Equal numbers of different k-mers only add candidates. Sizes and the overlap seen inside the prefixes prune before the exact check;
+thresholds are fractions, so every bound is whole-number arithmetic. Nothing is capped: long lists are split into blocks, hot ids are salted. Between
+steps only texts, prefixes and id pairs are stored.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequence as S
 from ..session import cut_lineage, shuffle_partitions
-from .joins import hot_keys, hot_of_counts, salted_join
+from .joins import attach_row, hot_keys, salted_join
 
 BLOCK = 512
 SKETCH = 16
+#: Slots of the table that orders k-mers.
+SLOTS = 1 << 18
+_LOW = 55  # bits of a k-mer's hash below its commonness
 
 
 def as_fraction(threshold: float | str | Fraction) -> Fraction:
@@ -83,21 +87,42 @@ def _need(size: Column, t: Fraction) -> Column:
     return F.greatest(ceil.cast("long"), F.lit(1).cast("long"))
 
 
-def prefix_rows(sets: DataFrame, t: Fraction, k: int) -> DataFrame:
-    """(id, size, kmer, n, df) of the prefix k-mers that occur more than once overall; df is the number
-    of occurrences, an upper bound of the length of the k-mer's list."""
-    counted = sets.select(F.explode(S.kmers(F.col("key"), k)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("df"))
-    frequency = cut_lineage(counted.where("df > 1"))  # the vocabulary of repeated k-mers: read three times below
-    long = sets.select("id", "size", F.explode(S.kmer_counts(F.col("key"), k)).alias("e")).select(
-        "id", "size", F.col("e.token").alias("kmer"), F.col("e.n").alias("n"))
-    # a k-mer that occurs once comes first in the order and matches nothing: it only shifts positions,
-    # so it need not travel; the shift is what the size leaves over
-    shared = salted_join(long, frequency, "kmer", hot=hot_of_counts(frequency, "kmer", "df"))
-    mine = Window.partitionBy("id")
-    before = mine.orderBy("df", "kmer").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = shared.withColumn("pos", F.col("size") - F.sum("n").over(mine) + F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = F.col("pos") < F.col("size") - _need(F.col("size"), t) + 1
-    return cut_lineage(ranked.where(inside).select("id", "size", "kmer", "n", "df"))
+def _level(n: Column | int) -> Column:
+    """Two steps a doubling: fits 7 bits for any 63-bit count."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.floor(F.log2(n + 1) * 2).cast("tinyint")
+
+
+def commonness(sets: DataFrame, k: int) -> DataFrame:
+    """One row `slots`: for each hash slot how common its k-mers are, on a logarithmic scale."""
+    places = F.transform(S.kmers(F.col("key"), k), lambda g: F.pmod(F.xxhash64(g), F.lit(SLOTS)))
+    counts = sets.select(F.explode(places).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    every = sets.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("n"))
+    filled = counts.unionByName(every).groupBy("slot").agg(_level(F.sum("n")).alias("level"))
+    # SLOTS entries, whatever the data
+    row = filled.agg(F.sort_array(F.collect_list(F.struct("slot", "level"))).alias("c"))
+    return cut_lineage(row.select(F.col("c.level").alias("slots")))
+
+
+def prefix_rows(sets: DataFrame, t: Fraction, k: int, others: tuple[str, ...] = (), table: DataFrame | None = None) -> DataFrame:
+    """(id, size, kmer, n, blocks, others) of the prefix k-mers: `kmer` is a number that orders them, n the occurrences inside the
+    prefix, blocks the number of blocks of the k-mer's list. Found row by row; only the lists of k-mers in common slots are counted. `table` takes
+    the result of `commonness` when it is already there."""
+    def number(g):
+        h = F.xxhash64(g)
+        level = F.get("slots", F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long")
+        return F.shiftleft(level, _LOW).bitwiseOR(h.bitwiseAND(F.lit((1 << _LOW) - 1)))
+
+    length = (F.col("size") - _need(F.col("size"), t) + 1).cast("int")
+    runs = S.sorted_runs(F.slice(F.array_sort(F.transform(S.kmers(F.col("key"), k), number)), F.lit(1), length), "bigint")
+    rows = cut_lineage(attach_row(sets, commonness(sets, k) if table is None else table).select("id", "size", *others, F.explode(runs).alias("e")).select(
+        "id", "size", *others, F.col("e.token").alias("kmer"), F.col("e.n").cast("long").alias("n")))
+    # a list longer than a block lies in a slot that is at least as common
+    common = rows.where(F.shiftright("kmer", _LOW) >= _level(BLOCK))
+    long_lists = common.groupBy("kmer").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > BLOCK)
+    long_lists = cut_lineage(long_lists.select(F.col("kmer").alias("__k"), F.ceil(F.col("df") / BLOCK).cast("int").alias("__b")))
+    out = rows.join(long_lists, F.col("kmer") == F.col("__k"), "left")
+    return out.select(*rows.columns, F.coalesce("__b", F.lit(1)).alias("blocks"))
 
 
 def _candidates(found: DataFrame, t: Fraction) -> DataFrame:
@@ -123,20 +148,19 @@ def _side(rows: DataFrame, tag: str) -> DataFrame:
 
 
 def _blocked(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of left and right rows with the same k-mer. A list of df rows is cut into ceil(df / BLOCK)
-    blocks per side and every block pair is its own join key, so no task meets more than BLOCK x BLOCK."""
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    a = _side(left.withColumn("blk_a", own).withColumn("blk_b", every), "a")
-    b = _side(right.withColumn("blk_b", own).withColumn("blk_a", every), "b")
+    """Pairs of left and right rows with the same k-mer. A long list is cut into blocks
+    per side and every block pair is its own join key, so no task meets more than about BLOCK x BLOCK."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = _side(left.withColumn("blk_a", own).withColumn("blk_b", every).drop("blocks"), "a")
+    b = _side(right.withColumn("blk_b", own).withColumn("blk_a", every).drop("blocks"), "b")
     return a.join(b, ["kmer", "blk_a", "blk_b"])
 
 
 def similar_pairs(sets: DataFrame, threshold: float | Fraction, k: int) -> DataFrame:
     """All pairs a < b of distinct profiles with Jaccard >= threshold; the pairs are the result."""
     t = as_fraction(threshold)
-    prefix = prefix_rows(sets, t, k)
+    prefix = cut_lineage(prefix_rows(sets, t, k))
     found = _blocked(prefix, prefix).where(F.col("id_a") < F.col("id_b"))
     return jaccard_of(_candidates(found, t), sets, k).where(at_least(t))
 
@@ -162,23 +186,29 @@ def hub_pairs(sets: DataFrame, t: Fraction, k: int) -> DataFrame:
 def cross_component_pairs(prefix: DataFrame, t: Fraction) -> DataFrame:
     """Candidate pairs whose ends lie in different components (`comp`). Components meet first, then only
     members of different components are paired: a list of one big group of copies yields nothing."""
-    groups = prefix.select("kmer", "comp", "df").distinct()
-    mixed = groups.groupBy("kmer").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("kmer")
-    prefix = prefix.join(mixed, "kmer", "left_semi")
-    heads = groups.join(mixed, "kmer", "left_semi").select("kmer", F.col("comp").alias("id"), "df")
-    met = _blocked(heads, heads).where(F.col("id_a") < F.col("id_b")).select(
+    mixed = prefix.groupBy("kmer").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("kmer")
+    prefix = cut_lineage(prefix.join(mixed, "kmer", "left_semi"))
+    heads = prefix.groupBy("kmer", "comp").agg(
+        F.count(F.lit(1)).alias("c"), F.min("blocks").alias("blocks"), F.min("id").alias("member"), F.min("size").alias("size"), F.min("n").alias("n"))
+    heads = cut_lineage(heads.withColumnRenamed("comp", "id"))
+    # most components have one member in a list: these meet as they are
+    single = heads.where("c = 1").select("kmer", "id", "blocks", "member", "size", "n")
+    plain = _blocked(single, single).where(F.col("id_a") < F.col("id_b")).drop("id_a", "id_b").withColumnsRenamed({"member_a": "id_a", "member_b": "id_b"})
+    met = _blocked(heads.where("c > 1").select("kmer", "id", "blocks"), heads.select("kmer", "id", "blocks", "c"))
+    met = met.where((F.col("id_a") != F.col("id_b")) & ((F.col("c_b") == 1) | (F.col("id_a") < F.col("id_b")))).select(
         "kmer", F.col("id_a").alias("comp_a"), F.col("id_b").alias("comp_b"))
-    a = _side(prefix.drop("df"), "a")
-    b = _side(prefix.drop("df"), "b")
-    return _candidates(met.join(a, ["kmer", "comp_a"]).join(b, ["kmer", "comp_b"]), t)
+    a, b = _side(prefix.drop("blocks"), "a"), _side(prefix.drop("blocks"), "b")
+    grouped = met.join(a, ["kmer", "comp_a"]).join(b, ["kmer", "comp_b"])
+    columns = ["id_a", "id_b", "size_a", "size_b", "n_a", "n_b"]
+    return _candidates(plain.select(*columns).unionByName(grouped.select(*columns)), t)
 
 
 def max_cross_jaccard(members: DataFrame, sets: DataFrame, k: int, train: str = "train") -> DataFrame:
     """One row: the largest Jaccard between a train profile and any other, and the pair that has it.
 
     `members` is (rep, split) with repeats. Exact in two steps: hub pairs across the border give a lower
-    bound (all of them, linear in number), then the prefix join over all rows runs at that bound,
-    which keeps it short when near copies cross the border.
+    bound (all of them, linear in number), then prefix joins over all rows run at descending thresholds and stop at the first that
+    finds a pair, at the bound at last. Without near copies across the border most of the index is never joined.
     """
     sides = members.groupBy(F.col("rep").alias("id")).agg(
         F.max(F.col("split") == train).alias("in_train"), F.max(F.col("split") != train).alias("in_other"))
@@ -194,11 +224,100 @@ def max_cross_jaccard(members: DataFrame, sets: DataFrame, k: int, train: str =
                         F.when(F.col("in_train"), F.col("hub_other")).otherwise(F.col("id")).alias("b")).agg(
         F.count(F.lit(1)).alias("n")).select("a", "b")
     best = jaccard_of(pairs, known, k).orderBy(F.desc("jaccard"), "a", "b").select("overlap", "union").first()
-    t = Fraction(best["overlap"], best["union"]) if best and best["overlap"] else Fraction(0)
-    prefix = prefix_rows(known, t, k).join(known.select("id", "in_train"), "id")
+    bound = Fraction(best["overlap"], best["union"]) if best and best["overlap"] else Fraction(0)
+    top, table = None, commonness(known, k)
+    for t in descending(bound, known):
+        top = cut_lineage(_crossing(known, t, k, table))
+        if not top.isEmpty():
+            break
+    return top.orderBy(F.desc("jaccard"), "a", "b").limit(1).select("a", "b", F.col("jaccard").alias("max_jaccard"))
+
+
+def descending(bound: Fraction, sets: DataFrame) -> list[Fraction]:
+    """Thresholds 1/2, 1/4, ... above a bound, then the bound. A join that finds a pair at one of them has found the largest too, so most
+    searches end far above the bound; without any bound they end where one shared token is enough."""
+    if bound == 0:
+        largest = sets.agg(F.max("size")).first()[0] or 1
+        bound = Fraction(1, 2 * largest)
+    out, t = [], Fraction(1, 2)
+    while t > bound:
+        out.append(t)
+        t /= 2
+    return [*out, bound]
+
+
+def _crossing(known: DataFrame, t: Fraction, k: int, table: DataFrame) -> DataFrame:
+    """All pairs (a in train, b outside) with Jaccard >= t."""
+    prefix = cut_lineage(prefix_rows(known, t, k, ("in_train",), table))
     found = _blocked(prefix.where("in_train").drop("in_train"), prefix.where("NOT in_train").drop("in_train"))
     top = jaccard_of(_candidates(found, t), known, k).where(at_least(t) & (F.col("overlap") > 0))
     first_train = known.select(F.col("id").alias("a"), F.col("in_train").alias("__ta"))
-    top = top.join(first_train, "a").select(F.when(F.col("__ta"), F.col("a")).otherwise(F.col("b")).alias("a"),
-                                            F.when(F.col("__ta"), F.col("b")).otherwise(F.col("a")).alias("b"), "jaccard")
-    return top.orderBy(F.desc("jaccard"), "a", "b").limit(1).select("a", "b", F.col("jaccard").alias("max_jaccard"))
+    return top.join(first_train, "a").select(F.when(F.col("__ta"), F.col("a")).otherwise(F.col("b")).alias("a"),
+                                             F.when(F.col("__ta"), F.col("b")).otherwise(F.col("a")).alias("b"), "jaccard")
+
+
+# ---- approximate join ----------------------------------------------------------------------------------------------
+
+def banded_sketch(sets: DataFrame, k: int, bands: int = 64, rows: int = 3) -> DataFrame:
+    """(id, size, kmer): one number per band of the sketch of each k-mer multiset.
+
+    One pass over the tokens: each token (the i-th repeat of a k-mer is one of its own) falls into one of bands x rows bins, and a bin keeps its
+    smallest hash; an empty bin takes that of the next filled one. A pair of Jaccard s shares a band with 1 - (1 - s^rows)^bands.
+    """
+    bins = bands * rows
+    hashed = F.transform(_tokens(F.col("key"), k), lambda g: F.xxhash64(g, F.lit(7)))
+    # sorted by bin, then by what is left of the hash: the first of each bin is its smallest
+    spread = F.array_sort(F.transform(hashed, lambda h: F.struct(F.pmod(h, F.lit(bins)).cast("int").alias("bin"), F.shiftright(h, 8).alias("v"))))
+
+    def firsts(all_):
+        ends = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (F.get(all_, i - 1)["bin"] != F.get(all_, i)["bin"]))
+        return F.transform(ends, lambda i: F.get(all_, i))
+    smallest = S.bind(spread, firsts)
+
+    def filled(found):
+        last = F.size(found) - 1
+
+        def at(i):  # the first filled bin at or after i, else the first of all; a copied value is told apart by its distance
+            places = F.filter(found, lambda e: e["bin"] >= i)
+            e = F.when(F.size(places) > 0, F.get(places, F.lit(0))).otherwise(F.get(found, F.lit(0)))
+            return F.xxhash64(e["v"], F.pmod(e["bin"] - i, F.lit(bins)))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), at))
+    sketch = S.bind(smallest, filled)
+    keys = S.bind(sketch, lambda v: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(v, b * rows + 1, rows))))
+    return cut_lineage(sets.select("id", "size", F.explode(keys).alias("kmer")))
+
+
+def similar_pairs_lsh(sets: DataFrame, threshold: float | Fraction, k: int, bands: int = 64, rows: int = 3) -> DataFrame:
+    """Pairs a < b of distinct profiles with Jaccard >= threshold that share a band of their sketches; each is checked exactly, so no pair
+    is wrong, but some are missed (`lsh_recall` measures how many). `similar_pairs` is the exact way."""
+    t = as_fraction(threshold)
+    placed = banded_sketch(sets, k, bands, rows)
+    long_lists = placed.groupBy("kmer").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > BLOCK).select(
+        F.col("kmer").alias("__k"), F.ceil(F.col("df") / BLOCK).cast("int").alias("__b"))
+    placed = placed.join(cut_lineage(long_lists), F.col("kmer") == F.col("__k"), "left").select("id", "size", "kmer", F.coalesce("__b", F.lit(1)).alias("blocks"))
+    fits = F.least("size_a", "size_b") * t.denominator >= F.greatest("size_a", "size_b") * t.numerator
+    met = _blocked(placed, placed).where((F.col("id_a") < F.col("id_b")) & fits)
+    pairs = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return jaccard_of(pairs, sets, k).where(at_least(t))
+
+
+def pairs_of(probes: DataFrame, sets: DataFrame, threshold: float | Fraction, k: int) -> DataFrame:
+    """All pairs (a, b) of a probe (id) and any other profile with Jaccard >= threshold, exact: the prefix join with one side cut to the probes."""
+    t = as_fraction(threshold)
+    prefix = cut_lineage(prefix_rows(sets, t, k))
+    found = _blocked(prefix.join(probes.select("id").distinct(), "id", "left_semi"), prefix).where(F.col("id_a") != F.col("id_b"))
+    both = jaccard_of(_candidates(found, t), sets, k).where(at_least(t))
+    each = both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return each.join(probes.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+
+
+def lsh_recall(found: DataFrame, probes: DataFrame, sets: DataFrame, threshold: float | Fraction, k: int) -> DataFrame:
+    """Per probe (id): n_exact similar profiles, n_found of them in `found` (a, b), n_wrong others there."""
+    exact = pairs_of(probes, sets, threshold, k).withColumn("exact", F.lit(1))
+    each = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("hit", F.lit(1))
+    each = each.join(probes.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    both = exact.join(each, ["a", "b"], "full").groupBy("a").agg(
+        F.count("exact").alias("n_exact"), F.count_if(F.col("exact").isNotNull() & F.col("hit").isNotNull()).alias("n_found"),
+        F.count_if(F.col("exact").isNull()).alias("n_wrong"))
+    out = probes.select("id").distinct().join(both.withColumnRenamed("a", "id"), "id", "left")
+    return out.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exact", "n_found", "n_wrong")])

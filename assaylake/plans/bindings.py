@@ -2,7 +2,7 @@
 
 Every binding reads its whole table and whole texts. Each sentence or line of every document is one
 sequence row; events are censored measurements with a stand-in prediction; line items are replicate
-measurements of a part; orders of two years are two data sets sharing customers.
+measurements of a part; orders before and after a date are data sets sharing customers.
 """
 
 from __future__ import annotations
@@ -57,6 +57,16 @@ def kept(spark: SparkSession, sf_dir: str, labels: bool = False) -> DataFrame:
     return cleaned(spark, sf_dir, labels).where(F.col("key").isNotNull())
 
 
+def segments(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
+    """Every sentence or line with at least `least` letters, whatever its length: what the row features take."""
+    rows = peptides(spark, sf_dir)
+    return rows.withColumn("key", F.upper(F.regexp_replace("raw_key", f"[^{LETTERS}]", ""))).where(F.length("key") >= least)
+
+
+SEGMENTS = f"""{PEPTIDES}, segments AS (SELECT * FROM (
+  SELECT row_id, lang, upper(regexp_replace(raw_key, '[^{LETTERS}]', '', 'g')) AS key FROM peptides) WHERE length(key) > 0)"""
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the letters of its whole text as one sequence."""
     docs = table(spark, sf_dir, "documents")
@@ -120,17 +130,7 @@ TWO_SETS = ("1998-01-01",)
 SETS = sets_sql(*TWO_SETS)
 
 
-def year_set(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """The orders of one year as labels per customer."""
-    orders = table(spark, sf_dir, "orders").where(
-        (F.col("o_orderdate") >= f"{year}-01-01") & (F.col("o_orderdate") < f"{year + 1}-01-01"))
-    return orders.select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("y"))
-
-
-YEAR_SETS = ", ".join(
-    f"{name} AS (SELECT o_custkey AS key, o_totalprice AS y FROM orders "
-    f"WHERE o_orderdate >= TIMESTAMP '{year}-01-01' AND o_orderdate < TIMESTAMP '{year + 1}-01-01')"
-    for name, year in (("set_a", 1996), ("set_b", 1997), ("set_c", 1998)))
+THREE_SETS = ("1997-01-01", "1998-01-01")
 
 
 def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:

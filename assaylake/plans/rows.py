@@ -110,13 +110,14 @@ def embedding_store(spark, d):
                      F.round(F.element_at("emb", -1).cast("double"), 6).alias("last"))
 
 
-@query("external_union", f"""WITH {B.YEAR_SETS}, u AS (
+@query("external_union", f"""WITH {B.sets_sql(*B.THREE_SETS)}, u AS (
   SELECT *, 'own' AS origin FROM set_a UNION ALL SELECT *, 'train' FROM set_b UNION ALL SELECT *, 'val' FROM set_c)
-SELECT origin, key, count(*) AS n, round(avg(y), 4) AS mean_y FROM u GROUP BY 1, 2""")
+SELECT origin, key, count(*) AS n, CAST(sum(CAST(round(y * 100) AS BIGINT)) AS BIGINT) AS cents FROM u GROUP BY 1, 2""")
 def external_union(spark, d):
-    own, train, val = (B.year_set(spark, d, y) for y in (1996, 1997, 1998))
+    """All orders; prices are summed in whole cents, so the sums do not depend on the order of rows."""
+    own, train, val = B.order_sets(spark, d, *B.THREE_SETS)
     out = io.external_union(own, {"train": train, "val": val}, ["key", "y"])
-    return out.groupBy("origin", "key").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("mean_y"))
+    return out.groupBy("origin", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("y") * 100).cast("long")).alias("cents"))
 
 
 @query("clean_sequence", f"WITH {B.CLEAN} SELECT row_id, lang, key FROM cleaned")
@@ -187,12 +188,12 @@ def floor_flag(spark, d):
 _LETTERS = "letters AS (SELECT unnest(string_split('" + R.ALPHABET + "', '')) AS letter, unnest(range(20)) AS idx)"
 
 
-@query("aac", f"""WITH {B.KEPT}, {_LETTERS}
+@query("aac", f"""WITH {B.SEGMENTS}, {_LETTERS}
 SELECT lang, idx, count(*) AS n, round(avg((length(key) - length(replace(key, letter, ''))) / length(key)), 6) AS mean_share,
   round(max((length(key) - length(replace(key, letter, ''))) / length(key)), 6) AS max_share
-FROM kept CROSS JOIN letters GROUP BY 1, 2""")
+FROM segments CROSS JOIN letters GROUP BY 1, 2""")
 def aac(spark, d):
-    rows = B.kept(spark, d).select("lang", F.posexplode(S.aac(F.col("key"))).alias("idx", "share"))
+    rows = B.segments(spark, d).select("lang", F.posexplode(S.aac(F.col("key"))).alias("idx", "share"))
     return rows.groupBy("lang", F.col("idx").cast("long").alias("idx")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("share"), 6).alias("mean_share"),
         F.round(F.max("share"), 6).alias("max_share"))
@@ -200,15 +201,15 @@ def aac(spark, d):
 
 _DI = f"""pairs AS (SELECT row_id, lang, length(key) - 1 AS m,
     20 * (strpos('{R.ALPHABET}', substr(key, i, 1)) - 1) + strpos('{R.ALPHABET}', substr(key, i + 1, 1)) - 1 AS idx
-  FROM (SELECT row_id, lang, key, unnest(range(1, length(key))) AS i FROM kept)),
+  FROM (SELECT row_id, lang, key, unnest(range(1, length(key))) AS i FROM segments)),
 di AS (SELECT row_id, lang, idx, count(*) / any_value(m) AS share FROM pairs GROUP BY 1, 2, 3)"""
 
 
-@query("dpc", f"""WITH {B.KEPT}, {_DI}
+@query("dpc", f"""WITH {B.SEGMENTS}, {_DI}
 SELECT lang, CAST(idx AS BIGINT) AS idx, count(*) AS n_rows, round(avg(share), 6) AS mean_share,
        round(max(share), 6) AS max_share FROM di GROUP BY 1, 2""")
 def dpc(spark, d):
-    rows = B.kept(spark, d).select("lang", F.explode(S.dpc_entries(F.col("key"))).alias("e"))
+    rows = B.segments(spark, d).select("lang", F.explode(S.dpc_entries(F.col("key"))).alias("e"))
     return rows.groupBy("lang", F.col("e.idx").cast("long").alias("idx")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("e.share"), 6).alias("mean_share"),
         F.round(F.max("e.share"), 6).alias("max_share"))
@@ -219,7 +220,7 @@ def _case(weights: dict[str, float]) -> str:
     return f"CASE c {arms} ELSE 0 END"
 
 
-_PHYS = f"""res AS (SELECT row_id, lang, key, unnest(string_split(key, '')) AS c FROM kept),
+_PHYS = f"""res AS (SELECT row_id, lang, key, unnest(string_split(key, '')) AS c FROM segments),
 val AS (SELECT *, {_case(S.HYDROPATHY)} AS h, {_case(S.CHARGE)} AS q FROM res),
 phys AS (SELECT row_id, any_value(lang) AS lang, any_value(key) AS key, 110.0 * count(*) AS mw,
   sum(h) / 10.0::DOUBLE / count(*) AS hydro_mean, max(h) / 10.0 - min(h) / 10.0 AS hydro_range,
@@ -230,52 +231,52 @@ phys AS (SELECT row_id, any_value(lang) AS lang, any_value(key) AS key, 110.0 *
 _PHYS_COLS = ", ".join(f"round(CAST({c} AS DOUBLE), 9) AS {c}" for c in S.PHYSCHEM)
 
 
-@query("physchem8", f"WITH {B.KEPT}, {_PHYS} SELECT row_id, {_PHYS_COLS} FROM phys")
+@query("physchem8", f"WITH {B.SEGMENTS}, {_PHYS} SELECT row_id, {_PHYS_COLS} FROM phys")
 def physchem8(spark, d):
     cols = S.physchem(F.col("key"))
-    return B.kept(spark, d).select("row_id", *[F.round(c, 9).alias(n) for n, c in cols.items()])
+    return B.segments(spark, d).select("row_id", *[F.round(c, 9).alias(n) for n, c in cols.items()])
 
 
-@query("physchem_profile", f"""WITH {B.KEPT}, {_PHYS}
+@query("physchem_profile", f"""WITH {B.SEGMENTS}, {_PHYS}
 SELECT lang, count(*) AS n, {", ".join(f"round(avg(CAST({c} AS DOUBLE)), 6) AS {c}" for c in S.PHYSCHEM)}
 FROM phys GROUP BY lang""")
 def physchem_profile(spark, d):
     cols = S.physchem(F.col("key"))
-    rows = B.kept(spark, d).select("lang", *[c.alias(n) for n, c in cols.items()])
+    rows = B.segments(spark, d).select("lang", *[c.alias(n) for n, c in cols.items()])
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(n), 6).alias(n) for n in S.PHYSCHEM])
 
 
-@query("sequence_vector", f"""WITH {B.KEPT}, {_PHYS}, {_LETTERS}, {_DI},
+@query("sequence_vector", f"""WITH {B.SEGMENTS}, {_PHYS}, {_LETTERS}, {_DI},
 long AS (SELECT lang, CAST(idx AS BIGINT) AS idx, share AS value FROM (
-    SELECT lang, idx, (length(key) - length(replace(key, letter, ''))) / length(key) AS share FROM kept CROSS JOIN letters)
+    SELECT lang, idx, (length(key) - length(replace(key, letter, ''))) / length(key) AS share FROM segments CROSS JOIN letters)
   UNION ALL SELECT lang, 20 + idx, share FROM di
   {" ".join(f"UNION ALL SELECT lang, {420 + i}, CAST({c} AS DOUBLE) FROM phys" for i, c in enumerate(S.PHYSCHEM))})
 SELECT lang, idx, count(*) AS n_nonzero, round(avg(value), 6) AS mean_value FROM long WHERE value <> 0 GROUP BY 1, 2""")
 def sequence_vector(spark, d):
-    rows = X.sequence_vector(B.kept(spark, d).select("lang", "key"))
+    rows = X.sequence_vector(B.segments(spark, d).select("lang", "key"))
     long = rows.select("lang", F.posexplode(vector_to_array("features")).alias("idx", "value"))
     return long.where(F.col("value") != 0).groupBy("lang", F.col("idx").cast("long").alias("idx")).agg(
         F.count(F.lit(1)).alias("n_nonzero"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
 _KMER3 = """km AS (SELECT row_id, kmer, count(*) AS n FROM (
-  SELECT row_id, substr(key, i, 3) AS kmer FROM (SELECT row_id, key, unnest(range(1, length(key) - 1)) AS i FROM kept))
+  SELECT row_id, substr(key, i, 3) AS kmer FROM (SELECT row_id, key, unnest(range(1, length(key) - 1)) AS i FROM segments))
   GROUP BY 1, 2)"""
 
 
-@query("kmer_counts", f"""WITH {B.KEPT}, {_KMER3}
+@query("kmer_counts", f"""WITH {B.SEGMENTS}, {_KMER3}
 SELECT kmer, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_total, CAST(max(n) AS BIGINT) AS max_n FROM km GROUP BY kmer""")
 def kmer_counts(spark, d):
-    rows = B.kept(spark, d).select(F.explode(S.kmer_counts(F.col("key"))).alias("e"))
+    rows = B.segments(spark, d).select(F.explode(S.kmer_counts(F.col("key"))).alias("e"))
     return rows.groupBy(F.col("e.token").alias("kmer")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("e.n").alias("n_total"), F.max("e.n").cast("long").alias("max_n"))
 
 
-@query("kmer_signature", f"""WITH {B.KEPT}
+@query("kmer_signature", f"""WITH {B.SEGMENTS}
 SELECT row_id, sha256(array_to_string(list_sort([key[i:i+2] for i in range(1, length(key) - 1)]), ',')) AS signature
-FROM kept""")
+FROM segments WHERE length(key) >= 3""")
 def kmer_signature(spark, d):
-    return B.kept(spark, d).select("row_id", S.kmer_signature(F.col("key")).alias("signature"))
+    return B.segments(spark, d, 3).select("row_id", S.kmer_signature(F.col("key")).alias("signature"))
 
 
 _TOK = r"\[[^\]]*\]|Br|Cl|%[0-9][0-9]|."

@@ -172,6 +172,62 @@ def label_rate_gap(spark, d):
     return rounded(Sp.label_rate_gap(rows, ["quality", "toxic"]))
 
 
+#: The label of a family's stratum is the quality mark of its documents.
+_STRATA = f"""marked AS (SELECT f.*, l.quality, l.toxic FROM fam f LEFT JOIN labels l ON l.doc_id = f.doc_id),
+strata AS (SELECT family, length(bin(count(*))) - 1 AS sc, coalesce(floor(avg(quality) * {R.RATE_CLASSES}), -1) AS rc FROM marked GROUP BY family),
+placed AS (SELECT family, sc, rc, row_number() OVER (PARTITION BY sc, rc ORDER BY md5('42|' || CAST(family AS VARCHAR)), family) - 1 AS p FROM strata),
+ends AS (SELECT sc, rc, s, sum(s) OVER (ORDER BY sc, rc) AS e FROM (SELECT sc, rc, count(*) AS s FROM strata GROUP BY sc, rc)),
+vals AS (SELECT *, floor(e * 0.7::DOUBLE) - floor((e - s) * 0.7::DOUBLE) AS t, max(floor(e * 0.7999999999999999::DOUBLE) - floor(e * 0.7::DOUBLE)) OVER (ORDER BY sc, rc) AS v FROM ends),
+cuts AS (SELECT *, t + v - coalesce(lag(v) OVER (ORDER BY sc, rc), 0) AS u FROM vals),
+ssplit AS (SELECT m.*, CASE WHEN p < t THEN 'train' WHEN p < u THEN 'val' ELSE 'test' END AS split
+  FROM marked m JOIN placed USING (family) JOIN cuts USING (sc, rc))"""
+
+
+def stratified(spark, d):
+    rows = cut_lineage(family_rows(spark, d)).join(B.table(spark, d, "labels"), "doc_id", "left")
+    return cut_lineage(Sp.stratified_family_split(cut_lineage(rows), "quality"))
+
+
+@query("stratified_family_split", f"{_WITH}, {_STRATA} SELECT doc_id, family, split FROM ssplit")
+def stratified_family_split(spark, d):
+    return stratified(spark, d).select("doc_id", "family", "split")
+
+
+@query("stratified_split_audit", f"""{_WITH}, {_STRATA}, {_FSPLIT},
+pf AS (SELECT 'plain' AS protocol, f.split, m.family, m.quality FROM fsplit f JOIN marked m ON m.doc_id = f.doc_id
+  UNION ALL SELECT 'stratified', split, family, quality FROM ssplit)
+SELECT protocol, split, count(*) AS n_rows, count(DISTINCT family) AS n_family, round(avg(quality), 6) AS rate FROM pf GROUP BY 1, 2""")
+def stratified_split_audit(spark, d):
+    """Rows, families and label rate of each side, for the plain and the stratified split."""
+    rows = stratified(spark, d)
+    plain = Sp.family_split(rows.drop("split"))
+    both = plain.withColumn("protocol", F.lit("plain")).unionByName(rows.withColumn("protocol", F.lit("stratified")))
+    return both.groupBy("protocol", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("family").alias("n_family"), F.round(F.avg("quality"), 6).alias("rate"))
+
+
+@query("similar_pairs_lsh")
+def similar_pairs_lsh(spark, d):
+    """The approximate join: exactly checked, some pairs missed. `similar_pairs` is the exact one."""
+    _, sets = _sets(spark, d)
+    return rounded(Sim.similar_pairs_lsh(sets, T, K).select("a", "b", "overlap", "jaccard"))
+
+
+_PROBES = 100
+
+
+@query("lsh_recall", f"""{_WITH}, probe AS (SELECT id FROM sz WHERE id % {_PROBES} = 0),
+e AS (SELECT a, b FROM pairs WHERE jaccard >= {T} UNION ALL SELECT b, a FROM pairs WHERE jaccard >= {T})
+SELECT id, count(e.b) AS n_exact, CAST(0 AS BIGINT) AS n_wrong, true AS recalled FROM probe LEFT JOIN e ON e.a = id GROUP BY id""")
+def lsh_recall(spark, d):
+    """Every profile whose id is divisible by 100 against all rows: exact partners, wrong ones (none) and whether 0.9 of all are found."""
+    _, sets = _sets(spark, d)
+    probes = sets.where(F.col("id") % _PROBES == 0).select("id")
+    found = cut_lineage(Sim.lsh_recall(Sim.similar_pairs_lsh(sets, T, K), probes, sets, T, K))
+    total = found.agg((F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("recalled"))
+    return attach_row(found, total).select("id", "n_exact", "n_wrong", F.coalesce("recalled", F.lit(True)).alias("recalled"))
+
+
 @query("split_report", f"""{_WITH}, {_FSPLIT}, members AS (SELECT rep, split FROM fsplit), {_SIDES}
 SELECT split, count(*) AS n_rows, count(DISTINCT rep) AS n_rep, count(DISTINCT family) AS n_family,
   (SELECT round(max(jaccard), 6) FROM x) AS max_jaccard FROM fsplit GROUP BY split""")

@@ -20,6 +20,8 @@ SEQUENCE_FEATURES = 428
 MOLECULE_FEATURES = 2265
 FLOOR, FLOOR_TOLERANCE, REGION_CUT = -10.0, 1e-6, -6.0
 TRAIN_FRACTION, VAL_FRACTION = 0.70, 0.10
+RATE_CLASSES = 5
+HUBER_DELTA = 1.0
 FAMILY_THRESHOLD, FAMILY_K = 0.35, 3
 MAX_POSITIVE_WEIGHT, MIN_POSITIVE_RATE = 20.0, 1e-4
 

@@ -210,12 +210,80 @@ def test_label_stats_counts_nan(spark):
     assert (r["n"], r["n_null"], r["min"], r["median"], r["max"]) == (4, 2, 1.0, 2.5, 4.0)
 
 
-def test_tobit_fit_improves_and_recovers(spark):
-    from pyspark.ml.feature import VectorAssembler
-    from assaylake.operators.models import tobit_fit
-    rnd = random.Random(5)
-    data = [(x, max(-10.0, 2.0 * x - 8.0 + rnd.gauss(0, 1))) for x in (rnd.uniform(-3, 3) for _ in range(600))]
-    df = VectorAssembler(inputCols=["a"], outputCol="x").transform(spark.createDataFrame(data, "a double, y double"))
-    model, sigma, history = tobit_fit(df, "x", tolerance=1e-3)
-    nll = [r["mean_nll"] for r in history.orderBy("round").collect()]
-    assert nll[-1] <= nll[0] and abs(model.coefficients[0] - 2.0) < 0.2 and abs(sigma - 1.0) < 0.15
+def test_maximum_without_hub_pair_descends(spark, monkeypatch):
+    # no sketch hash is shared, so there is no lower bound; the pair is found at the first threshold below its similarity
+    monkeypatch.setattr(Sim, "sketch_rows", lambda sets, k, count=16: sets.where("false").select(*[c for c in sets.columns if c != "key"], F.lit(0).cast("long").alias("h")))
+    tried, plain = [], Sim._crossing
+    monkeypatch.setattr(Sim, "_crossing", lambda known, t, *rest: tried.append(t) or plain(known, t, *rest))
+    rnd = random.Random(2)
+    seqs = ["".join(rnd.choice(R.ALPHABET) for _ in range(40)) for _ in range(40)]
+    seqs[7] = seqs[3][:24] + seqs[7][:16]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, key string")
+    members, sets = Sim.signature_classes(rows, "id", "key", 3)
+    split = members.withColumn("split", F.when(F.col("rep") % 2 == 0, "train").when(F.col("rep") == 3, "train").otherwise("test"))
+    side = {r["rep"]: r["split"] for r in split.collect()}
+    value, pair = max((py_jaccard(seqs[i], seqs[j], 3), (i, j)) for i in side for j in side if side[i] == "train" and side[j] != "train")
+    top = Sim.max_cross_jaccard(split.select("rep", "split"), sets, 3).first()
+    assert (top["a"], top["b"]) == pair == (3, 7) and top["max_jaccard"] == pytest.approx(value)
+    assert [float(t) for t in tried] == [0.5, 0.25] and 0.25 <= value < 0.5
+    lone = rows.where("id < 2")
+    members, sets = Sim.signature_classes(lone.withColumn("key", F.when(F.col("id") == 0, "AAAAAA").otherwise("CCCCCC")), "id", "key", 3)
+    assert Sim.max_cross_jaccard(members.withColumn("split", F.when(F.col("rep") == 0, "train").otherwise("test")).select("rep", "split"), sets, 3).count() == 0
+
+
+def test_prefixes_hold_a_shared_token_of_every_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(Sim, "SLOTS", 16)  # a coarse order is right too
+    seqs = peptides(60, 5)
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, key string")
+    _, sets = Sim.signature_classes(rows, "id", "key", 3)
+    t = Sim.as_fraction(0.35)
+    prefix = {}
+    for r in Sim.prefix_rows(sets, t, 3).collect():
+        prefix.setdefault(r["id"], Counter())[r["kmer"]] += r["n"]
+    for i, p in prefix.items():
+        size = len(seqs[i]) - 2
+        assert sum(p.values()) == size - max(1, -(-size * 35 // 100)) + 1
+    similar = [(i, j) for i, j in itertools.combinations(sorted(prefix), 2) if py_jaccard(seqs[i], seqs[j], 3) >= 0.35]
+    assert similar and all(prefix[i].keys() & prefix[j].keys() for i, j in similar)
+    got = {(r["a"], r["b"]) for r in Sim.similar_pairs(sets, t, 3).collect()}
+    assert got == set(similar)
+
+
+def test_approximate_pairs_are_exact_and_mostly_found(spark, monkeypatch):
+    monkeypatch.setattr(Sim, "BLOCK", 3)  # long bands meet in blocks
+    rnd = random.Random(9)
+    letters = lambda n: "".join(rnd.choice(R.ALPHABET) for _ in range(n))
+    base = [letters(rnd.randrange(80, 200)) for _ in range(12)]
+    seqs = [b[:rnd.randrange(5)] + "".join(c if rnd.random() > 0.03 else rnd.choice(R.ALPHABET) for c in b) for b in base for _ in range(6)] + ["AC", "ACD", "ACDACDACD" * 9]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, key string")
+    _, sets = Sim.signature_classes(rows, "id", "key", 3)
+    want = {(i, j) for i, j in itertools.combinations(sorted(r["id"] for r in sets.collect()), 2) if py_jaccard(seqs[i], seqs[j], 3) >= 0.5}
+    found = Sim.similar_pairs_lsh(sets, 0.5, 3)
+    pairs = [(r["a"], r["b"]) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= want and len(pairs) >= 0.9 * len(want) > 50
+    probes = sets.where("id % 5 = 0").select("id")
+    for r in Sim.lsh_recall(found, probes, sets, 0.5, 3).collect():
+        mine = [p for p in want if r["id"] in p]
+        assert (r["n_exact"], r["n_found"], r["n_wrong"]) == (len(mine), len([p for p in pairs if r["id"] in p]), 0)
+    assert Sim.similar_pairs_lsh(sets.where("false"), 0.5, 3).count() == 0
+
+
+def test_stratified_split_evens_label_rates(spark):
+    rnd = random.Random(6)
+    rows, n = [], 0
+    for fam in range(400):
+        rate = rnd.choice([0.02, 0.5, 0.98])
+        for _ in range(rnd.choice([1, 1, 1, 2, 3, 9, 40])):
+            n += 1
+            rows.append((n, fam, float(rnd.random() < rate) if fam % 7 else None))
+    df = spark.createDataFrame(rows, "row_id long, family long, label double")
+    plain, strata = Sp.family_split(df), Sp.stratified_family_split(df, "label")
+    gap = lambda d: Sp.label_rate_gap(d, ["label"]).first()["max_gap"]
+    count = lambda d: {r["split"]: r["n"] for r in d.groupBy("split").agg(F.countDistinct("family").alias("n")).collect()}
+    assert all(abs(n - count(plain)[side]) <= 1 for side, n in count(strata).items()) and gap(strata) <= gap(plain)
+    assert strata.groupBy("family").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0 and strata.count() == n
+    # inside every stratum the shares are those asked for, to one family
+    per = strata.select("family", "split").distinct().join(Sp.family_strata(df, "family", "label"), "family")
+    for r in per.groupBy("size_class", "rate_class").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("t")).collect():
+        assert abs(r["t"] - 0.7 * r["n"]) <= 1
+    assert Sp.stratified_family_split(df.where("false"), "label").count() == 0
