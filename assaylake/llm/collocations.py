@@ -7,9 +7,10 @@ in a row and leave a gap between pieces, so equal pieces and adjacent positions
 2. group and count them: counts of a slice of the text first, then of the corpus, dealt by phrase;
 3. semi-join the occurrences with the frequent phrases, and store them as the relation of the next length.
 
-A slice holds the documents of one language, about SLICE_BYTES of text, so no piece crosses slices. Only different phrases of a slice are
+A slice holds documents of one language, about SLICE_BYTES of text, so no piece crosses slices. Only different phrases of a slice are
 shuffled, packed by shard; a phrase that most of the corpus holds comes once a slice, however often it occurs. Frequent phrases
-are named by numbers, a longer phrase by the numbers of its first part and its last word, so counts are exact.
+are named by numbers, a longer phrase by the numbers of its first part and its last word, so counts are exact. Occurrences that are not yet counted
+are joined again for the semi-join, which is cheaper than to store them.
 
 Defined cases: a null text is empty and adds nothing; a null language is `und`; repeated rows count as often as they come; empty pieces have
 no words; an empty table gives no rows; further columns are ignored.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -31,11 +33,10 @@ from .common import slices, stored, text_of
 
 LEAST, LONGEST, TOP, SHARE = 10, 3, 2000, 50
 SLICE_BYTES = 4 << 20
-#: Different phrases of slices in one shard, on average.
-SHARD_ROWS = 400_000
+#: Different phrases of slices in one shard, on average at most.
+SHARD_ROWS = 2_000_000
 _MAP = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOKEN = re.compile(rb"[^ \n]+|\n")
-_RELATION = "lang string, slice long, places binary, names binary"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -43,25 +44,57 @@ def tokens(text: bytes) -> list[bytes]:
     return _TOKEN.findall(text.translate(_MAP))
 
 
-def _long(x) -> bytes:
-    return np.ascontiguousarray(x, np.int64).tobytes()
+# ---- packed numbers ---------------------------------------------------------------------------------------------
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes each as the largest needs, byte planes apart, compressed."""
+    numbers = np.ascontiguousarray(numbers, np.int64)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(numbers) or int(numbers.max()) < 1 << 8 * w)
+    planes = numbers.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def _of(cell: bytes) -> np.ndarray:
-    return np.frombuffer(cell, np.int64)
 
+def loose(cell: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell[1:]), np.uint8).reshape(cell[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :cell[0]] = planes.T
+    return out.reshape(-1).view(np.int64)
 
-def _small(x: np.ndarray) -> bytes:
-    """Sorted places as steps: parquet packs them well."""
-    return np.diff(x, prepend=0).astype(np.int32).tobytes()
 
+def squeeze_rising(numbers: np.ndarray) -> bytes:
+    return squeeze(np.diff(numbers, prepend=0))
 
-def _places(cell: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(cell, np.int32), dtype=np.int64)
+
+def loose_rising(cell: bytes) -> np.ndarray:
+    return np.cumsum(loose(cell))
+
+
+def _batch(schema: dict, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values())], names=list(schema))
+
+
+_TYPES = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.string()): "array<string>"}
+
+
+def _ddl(schema: dict) -> str:
+    return ", ".join(f"{n} {_TYPES[t]}" for n, t in schema.items())
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows of batches, one at a time as Python values: a row is a slice or a cell."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(batch.column(c)[k].as_py() for c in columns)
+
+
+# ---- single words -------------------------------------------------------------------------------------------------
+
+_SLICES = {"lang": pa.string(), "slice": pa.int64(), "n": pa.int64(), "words": pa.list_(pa.string()), "times": pa.binary(), "places": pa.binary(), "names": pa.binary()}
 
 
 def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """A row a slice: lang, slice, its different words, how often each occurs, and the sorted relation (places, word numbers of the slice)."""
+    """A row a slice: its different words, the most frequent first, how often each occurs, and the sorted relation (places, word numbers of the slice)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "data", SLICE_BYTES):
@@ -70,77 +103,78 @@ def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 got = tokens(data)
                 if got:
                     by_lang.setdefault(name, []).extend([*got, b"\n"])
-            for name, got in by_lang.items():
-                at, words = pd.factorize(np.array(got, object))
+            for name in list(by_lang):
+                at, words = pd.factorize(np.array(by_lang.pop(name), object))
+                times = np.bincount(at, minlength=len(words))
                 end = next(k for k, w in enumerate(words) if w == b"\n")
+                times[end] = 0
+                order = np.argsort(-times, kind="stable")  # the mark of an end comes last
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
                 place = np.flatnonzero(at != end)
                 if not len(place):
                     continue
-                # numbers without the mark of an end
-                number = at[place] - (at[place] > end)
-                words = [w for w in words if w != b"\n"]
-                times = np.bincount(number, minlength=len(words))
                 count += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name], pa.string()), pa.array([(task << 32) + count]), pa.array([len(place)]), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([_long(times)], pa.binary()),
-                     pa.array([_small(place)], pa.binary()), pa.array([number.astype(np.int32).tobytes()], pa.binary())],
-                    names=["lang", "slice", "n", "words", "times", "places", "names"])
+                words = [words[k].decode() for k in order[:-1]]
+                yield _batch(_SLICES, [(name, (task << 32) + count, len(place), words, squeeze(times[order[:-1]]), squeeze_rising(place), squeeze(rank[at[place]]))])
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).cast("binary").alias("data"))
-    return stored(rows.mapInArrow(run, "lang string, slice long, n long, words array<string>, times binary, places binary, names binary"), "setm-words")
+    return stored(rows.mapInArrow(run, _ddl(_SLICES)), "setm-words")
 
 
-# ---- group-count and semi-join of the phrases of all slices ----------------------------------------------------
+_WORD_CELLS = {"shard": pa.int64(), "lang": pa.string(), "slice": pa.int64(), "words": pa.list_(pa.string()), "times": pa.binary(), "local": pa.binary()}
+
+
+def _word_cells(words: DataFrame, shards: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, number, names, times in _rows(batches, "lang", "slice", "words", "times"):
+            shard, times = np.array([zlib.crc32(w.encode()) % shards for w in names], np.int64), loose(times)
+            order = np.argsort(shard, kind="stable")
+            got, starts = np.unique(shard[order], return_index=True)
+            yield _batch(_WORD_CELLS, [(int(s), lang, number, [names[k] for k in part], squeeze(times[part]), squeeze_rising(part)) for s, part in zip(got, np.split(order, starts[1:]))])
+
+    return words.select("lang", "slice", "words", "times").mapInArrow(run, _ddl(_WORD_CELLS))
 
-_COUNTED = "lang string, slice long, local binary, phrases binary, phrase long, word string, a long, first long, last long"
 
+#: Rows of slices (slice, local or mask, numbers) and of frequent phrases (phrase, word or first and last, a).
+_COUNTED = {"lang": pa.string(), "slice": pa.int64(), "shard": pa.int64(), "local": pa.binary(), "numbers": pa.binary(),
+            "phrase": pa.int64(), "word": pa.string(), "first": pa.int64(), "last": pa.int64(), "a": pa.int64()}
 
-def _counted(entries: DataFrame, least: int, as_words: bool) -> DataFrame:
-    """Of entries (shard, lang, slice, keys, times, local): the frequent phrases, each with a number of its own, and for each slice
-    the numbers of those it holds. A key is a word, or (number of the first part, number of the last word)."""
+
+def _numbers(total: np.ndarray, least: int, shard: int, shards: int) -> np.ndarray:
+    """Numbers of the frequent phrases of a shard, no other shard gives them; -1 for the others."""
+    often = total >= least
+    return np.where(often, shard + shards * (np.cumsum(often) - 1), -1)
+
+
+def _counted_words(cells: DataFrame, shards: int, least: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
-        shard, shards = table["shard"][0].as_py(), table["shards"][0].as_py()
-        langs, numbers = table["lang"].to_pylist(), table["slice"].to_pylist()
-        times = [_of(c) for c in table["times"].to_pylist()]
-        sizes = np.array([len(t) for t in times])
-        slice_at = np.repeat(np.arange(len(langs)), sizes)
+        shard, langs, numbers = table["shard"][0].as_py(), table["lang"].to_pylist(), table["slice"].to_pylist()
+        times = [loose(c) for c in table["times"].to_pylist()]
+        sizes = [len(t) for t in times]
         lang_at, lang_names = pd.factorize(np.array(langs, object))
-        if as_words:
-            word_at, words = pd.factorize(np.array([w for c in table["words"].to_pylist() for w in c], object))
-            key_at, keys = pd.factorize(lang_at[slice_at].astype(np.int64) * max(len(words), 1) + word_at)
-        else:
-            # names of a number belong to one language, so the pair says all
-            pairs = np.concatenate([_of(c) for c in table["keys"].to_pylist()]).reshape(-1, 2)
-            kind = np.dtype([("first", np.int64), ("last", np.int64)])
-            keys, key_at = np.unique(np.ascontiguousarray(pairs).view(kind).ravel(), return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, key_at, np.concatenate(times))
-        often = total >= least
-        number = np.full(len(keys), -1, np.int64)
-        number[often] = shard + shards * np.arange(often.sum())
-        hit = number[key_at] >= 0
-        local = np.concatenate([_of(c) for c in table["local"].to_pylist()])
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
-        back = []
-        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-            got = np.flatnonzero(hit[lo:hi]) + lo
-            if len(got):
-                back.append((langs[k], numbers[k], _long(local[got]), _long(number[key_at[got]])))
-        top = np.flatnonzero(often)
-        one = np.zeros(len(keys), np.int64)
-        one[key_at] = lang_at[slice_at]
-        lang_of, none, m = [lang_names[k] for k in one[top]], [None] * len(top), len(back)
-        word_of = [words[k % max(len(words), 1)] for k in keys[top]] if as_words else none
-        first, last = (none, none) if as_words else (keys["first"][top].tolist(), keys["last"][top].tolist())
-        column = lambda of_slices, of_phrases, kind: pa.array([*of_slices, *of_phrases], kind)
-        nothing = [None] * m
-        return pa.table({
-            "lang": column((b[0] for b in back), lang_of, pa.string()), "slice": column((b[1] for b in back), none, pa.int64()),
-            "local": column((b[2] for b in back), none, pa.binary()), "phrases": column((b[3] for b in back), none, pa.binary()),
-            "phrase": column(nothing, number[top].tolist(), pa.int64()), "word": column(nothing, word_of, pa.string()),
-            "a": column(nothing, total[top].tolist(), pa.int64()), "first": column(nothing, first, pa.int64()), "last": column(nothing, last, pa.int64())})
-
-    return stored(entries.groupBy("shard").applyInArrow(count, _COUNTED), "setm-counts")
+        word_at, words = pd.factorize(np.array(table["words"].combine_chunks().flatten().to_pylist(), object))
+        key_at, keys = pd.factorize(np.repeat(lang_at, sizes).astype(np.int64) * max(len(words), 1) + word_at)
+        total = np.bincount(key_at, np.concatenate(times), len(keys)).astype(np.int64)
+        number = _numbers(total, least, shard, shards)
+        out, at = [], 0
+        for lang, slice_, local, size in zip(langs, numbers, table["local"].to_pylist(), sizes):
+            mine = number[key_at[at:at + size]]
+            at += size
+            if (mine >= 0).any():
+                out.append((lang, slice_, shard, squeeze_rising(loose_rising(local)[mine >= 0]), squeeze(mine[mine >= 0]), None, None, None, None, None))
+        for k in np.flatnonzero(number >= 0):
+            out.append((lang_names[keys[k] // len(words)], None, shard, None, None, int(number[k]), words[keys[k] % len(words)], None, None, int(total[k])))
+        return pa.Table.from_batches([_batch(_COUNTED, out)])
+
+    return stored(cells.groupBy("shard").applyInArrow(count, _ddl(_COUNTED)), "setm-counts")
+
+
+# ---- relations ----------------------------------------------------------------------------------------------------
+
+#: The sorted occurrences of the phrases of one length (null for single words) and of the frequent single words.
+_RELATION = {"lang": pa.string(), "slice": pa.int64(), "places": pa.binary(), "names": pa.binary(), "ids": pa.binary(),
+             "w_places": pa.binary(), "w_names": pa.binary(), "w_ids": pa.binary()}
 
 
 def _frequent(counted: DataFrame) -> DataFrame:
@@ -148,97 +182,108 @@ def _frequent(counted: DataFrame) -> DataFrame:
 
 
 def _back(counted: DataFrame) -> DataFrame:
-    """Per slice the numbers of its frequent phrases; as many entries as the slice has different phrases."""
+    """Per slice what was found of it, a part a shard; as many numbers as the slice has different frequent phrases."""
     cells = counted.where("slice IS NOT NULL").groupBy(F.col("slice").alias("s"))
-    return cells.agg(F.collect_list(F.struct("local", "phrases")).alias("found"))
+    return cells.agg(F.collect_list(F.struct("shard", "local", "numbers")).alias("found"))
 
 
-def _number(total: int) -> int:
-    return max(1, -(-total // SHARD_ROWS))
-
-
-def _semi_joined(relation: DataFrame, counted: DataFrame) -> DataFrame:
-    """The occurrences of frequent phrases, named by their numbers, as the stored relation of their length."""
+def _word_relation(words: DataFrame, counted: DataFrame) -> DataFrame:
+    """The semi-join of the single words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                found = row.column("found").to_pylist()[0]
-                local = np.concatenate([_of(f["local"]) for f in found])
-                lookup = np.full(int(row.column("different").to_pylist()[0]), -1, np.int64)
-                lookup[local] = np.concatenate([_of(f["phrases"]) for f in found])
-                named = lookup[np.frombuffer(row.column("names").to_pylist()[0], np.int32)]
-                stay = named >= 0
-                yield pa.RecordBatch.from_arrays(
-                    [row.column("lang"), row.column("slice"), pa.array([_small(_places(row.column("places").to_pylist()[0])[stay])], pa.binary()),
-                     pa.array([_long(named[stay])], pa.binary())], names=["lang", "slice", "places", "names"])
-
-    both = relation.join(_back(counted), F.col("slice") == F.col("s")).select("lang", "slice", "different", "places", "names", "found")
-    return stored(both.mapInArrow(run, _RELATION), "setm-relation")
-
-
-def _word_entries(slices_: DataFrame, shards: int) -> DataFrame:
+        for lang, slice_, size, places, names, found in _rows(batches, "lang", "slice", "size", "places", "names", "found"):
+            number = np.full(size, -1, np.int64)
+            for f in found:
+                number[loose_rising(f["local"])] = loose(f["numbers"])
+            named = number[(at := loose(names))] >= 0
+            rank = np.cumsum(number >= 0) - 1  # the slice's own numbers of its frequent words
+            yield _batch(_RELATION, [(lang, slice_, None, None, None, squeeze_rising(loose_rising(places)[named]), squeeze(rank[at[named]]), squeeze(number[number >= 0]))])
+
+    both = words.select("lang", "slice", F.size("words").alias("size"), "places", "names").join(_back(counted), F.col("slice") == F.col("s"))
+    return stored(both.select("lang", "slice", "size", "places", "names", "found").mapInArrow(run, _ddl(_RELATION)), "setm-relation")
+
+
+def _merge_joined(row: tuple, length: int, shards: int):
+    """Occurrences of the phrases of `length` words with the next word: places, numbers of the slice's different longer phrases, and of these first part,
+    last word, count and shard, in the order of (shard, first, last)."""
+    places, names, ids, w_places, w_names, w_ids = row
+    right, single, w_ids = loose_rising(w_places), loose(w_names), loose(w_ids)
+    left, phrase, ids = (right, single, w_ids) if places is None else (loose_rising(places), loose(names), loose(ids))
+    at = np.searchsorted(right, left + length)  # both sides are sorted by place
+    hit = np.flatnonzero(right[np.minimum(at, len(right) - 1)] == left + length)
+    pair = phrase[hit] * len(w_ids) + single[at[hit]]
+    keys, named, times = np.unique(pair, return_inverse=True, return_counts=True)
+    first, last = ids[keys // len(w_ids)], w_ids[keys % len(w_ids)]
+    mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    shard = ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(33)) % np.uint64(shards)
+    order = np.lexsort((last, first, shard))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return left[hit], rank[named], first[order], last[order], times[order], shard[order].astype(np.int64)
+
+
+_PARTS = ("places", "names", "ids", "w_places", "w_names", "w_ids")
+_CELLS = {"shard": pa.int64(), "lang": pa.string(), "slice": pa.int64(), "first": pa.binary(), "last": pa.binary(), "times": pa.binary()}
+
+
+def _phrase_cells(relation: DataFrame, length: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, number, words, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "slice", "words", "times"))):
-                shard = np.array([zlib.crc32(w.encode()) % shards for w in words], np.int64)
-                names, times = np.array(words, object), _of(times)
-                order = np.argsort(shard, kind="stable")
-                got, starts = np.unique(shard[order], return_index=True)
-                parts = np.split(order, starts[1:])
-                m = len(got)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(got), pa.array([shards] * m), pa.array([lang] * m, pa.string()), pa.array([number] * m),
-                     pa.array([names[p].tolist() for p in parts], pa.list_(pa.string())), pa.array([_long(times[p]) for p in parts], pa.binary()),
-                     pa.array([_long(p) for p in parts], pa.binary())], names=["shard", "shards", "lang", "slice", "words", "times", "local"])
-
-    return slices_.select("lang", "slice", "words", "times").mapInArrow(
-        run, "shard long, shards long, lang string, slice long, words array<string>, times binary, local binary")
-
-
-def _longer(relation: DataFrame, words: DataFrame, length: int) -> DataFrame:
-    """The merge-join: occurrences of phrases of `length` words whose next word is frequent, as (places, numbers of the slice's different phrases) with
-    these phrases and their counts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, number, places, names, other, single in zip(*(batch.column(c).to_pylist() for c in ("lang", "slice", "places", "names", "other", "single"))):
-                left, right = _places(places), _places(other)
-                # both sides are sorted by place
-                _, i, j = np.intersect1d(left + length, right, assume_unique=True, return_indices=True)
-                if not len(i):
-                    continue
-                pairs = np.stack((_of(names)[i], _of(single)[j]), axis=1)
-                kind = np.dtype([("first", np.int64), ("last", np.int64)])
-                keys, at, times = np.unique(pairs.view(kind).ravel(), return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([number]), pa.array([_small(left[i])], pa.binary()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
-                     pa.array([keys.tobytes()], pa.binary()), pa.array([times.astype(np.int64).tobytes()], pa.binary()), pa.array([len(keys)])],
-                    names=["lang", "slice", "places", "names", "keys", "times", "different"])
+        for lang, slice_, *row in _rows(batches, "lang", "slice", *_PARTS):
+            _, _, first, last, times, shard = _merge_joined(row, length, shards)
+            got, starts = np.unique(shard, return_index=True)
+            ends = np.append(starts[1:], len(shard))
+            if len(got):
+                yield _batch(_CELLS, [(int(s), lang, slice_, squeeze_rising(first[lo:hi]), squeeze(last[lo:hi]), squeeze(times[lo:hi])) for s, lo, hi in zip(got, starts, ends)])
 
-    single = words.select(F.col("slice").alias("s"), F.col("places").alias("other"), F.col("names").alias("single"))
-    both = relation.join(single, F.col("slice") == F.col("s")).select("lang", "slice", "places", "names", "other", "single")
-    return stored(both.mapInArrow(run, f"{_RELATION}, keys binary, times binary, different long"), "setm-longer")
+    return relation.mapInArrow(run, _ddl(_CELLS))
 
 
-def _pair_entries(found: DataFrame, shards: int) -> DataFrame:
+def _counted_phrases(cells: DataFrame, shards: int, least: int) -> DataFrame:
+    def count(table: pa.Table) -> pa.Table:
+        shard, langs, numbers = table["shard"][0].as_py(), table["lang"].to_pylist(), table["slice"].to_pylist()
+        first = [loose_rising(c) for c in table["first"].to_pylist()]
+        sizes = np.array([len(f) for f in first])
+        first = np.concatenate(first)
+        last = np.concatenate([loose(c) for c in table["last"].to_pylist()])
+        order = np.lexsort((last, first))
+        f, l = first[order], last[order]
+        new = np.concatenate(([True], (np.diff(f) != 0) | (np.diff(l) != 0)))
+        heads = np.flatnonzero(new)
+        total = np.add.reduceat(np.concatenate([loose(c) for c in table["times"].to_pylist()])[order], heads)
+        number = _numbers(total, least, shard, shards)
+        mine = np.empty(len(order), np.int64)
+        mine[order] = number[np.cumsum(new) - 1]
+        out, at = [], 0
+        for lang, slice_, size in zip(langs, numbers, sizes):
+            here = mine[at:at + size]
+            at += size
+            often = here >= 0
+            if often.any():
+                # keys and numbers rise together in a cell
+                out.append((lang, slice_, shard, squeeze_rising(np.flatnonzero(often)), squeeze_rising(here[often]), None, None, None, None, None))
+        # the numbers of a phrase's words belong to one language
+        lang_at = np.repeat(np.arange(len(langs)), sizes)[order[heads]]
+        for k in np.flatnonzero(number >= 0):
+            out.append((langs[lang_at[k]], None, shard, None, None, int(number[k]), None, int(f[heads[k]]), int(l[heads[k]]), int(total[k])))
+        return pa.Table.from_batches([_batch(_COUNTED, out)])
+
+    return stored(cells.groupBy("shard").applyInArrow(count, _ddl(_COUNTED)), "setm-counts")
+
+
+def _phrase_relation(relation: DataFrame, counted: DataFrame, length: int, shards: int) -> DataFrame:
+    """The semi-join: the occurrences of phrases one word longer than `length`, of the frequent ones only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, number, keys, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "slice", "keys", "times"))):
-                pairs, times = _of(keys).reshape(-1, 2), _of(times)
-                mixed = pairs.astype(np.uint64)
-                mixed = (mixed[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (mixed[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
-                shard = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                got, starts = np.unique(shard[order], return_index=True)
-                parts = np.split(order, starts[1:])
-                m = len(got)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(got), pa.array([shards] * m), pa.array([lang] * m, pa.string()), pa.array([number] * m),
-                     pa.array([_long(pairs[p]) for p in parts], pa.binary()), pa.array([_long(times[p]) for p in parts], pa.binary()),
-                     pa.array([_long(p) for p in parts], pa.binary())], names=["shard", "shards", "lang", "slice", "keys", "times", "local"])
-
-    return found.select("lang", "slice", "keys", "times").mapInArrow(
-        run, "shard long, shards long, lang string, slice long, keys binary, times binary, local binary")
+        for lang, slice_, found, *row in _rows(batches, "lang", "slice", "found", *_PARTS):
+            places, names, _, _, _, shard = _merge_joined(row, length, shards)
+            number = np.full(len(shard), -1, np.int64)
+            starts = dict(zip(*(x.tolist() for x in np.unique(shard, return_index=True))))
+            for f in found:
+                number[starts[f["shard"]] + loose_rising(f["local"])] = loose_rising(f["numbers"])
+            named = number[names] >= 0
+            rank = np.cumsum(number >= 0) - 1
+            yield _batch(_RELATION, [(lang, slice_, squeeze_rising(places[named]), squeeze(rank[names[named]]), squeeze(number[number >= 0]), *row[3:])])
+
+    both = relation.join(_back(counted), F.col("slice") == F.col("s")).select("lang", "slice", "found", *_PARTS)
+    return stored(both.mapInArrow(run, _ddl(_RELATION)), "setm-relation")
 
 
 # ---- the operator --------------------------------------------------------------------------------------------------
@@ -246,17 +291,17 @@ def _pair_entries(found: DataFrame, shards: int) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of each length (lang, phrase, a, word, first, last), and (lang, n)."""
     words = occurrences(docs, text, lang)
-    total = words.agg(F.sum(F.size("words"))).first()[0] or 0
-    counted = _counted(_word_entries(words, _number(total)), least, True)
-    relation = single = _semi_joined(words.withColumn("different", F.size("words").cast("long")), counted)
-    found = [_frequent(counted)]
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("w")).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # a slice has no more different phrases than words
+    word_shards, shards = (max(cores, -(-size[c] // SHARD_ROWS)) for c in ("w", "n"))
+    counted = _counted_words(_word_cells(words, word_shards), word_shards, least)
+    found, relation = [_frequent(counted)], _word_relation(words, counted)
     for length in range(1, longest):
-        longer = _longer(relation, single, length)
-        total = longer.agg(F.sum("different")).first()[0] or 0
-        counted = _counted(_pair_entries(longer, _number(total)), least, False)
+        counted = _counted_phrases(_phrase_cells(relation, length, shards), shards, least)
         found.append(_frequent(counted))
         if length + 1 < longest:
-            relation = _semi_joined(longer, counted)
+            relation = _phrase_relation(relation, counted, length, shards)
     return found, words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
