@@ -1,9 +1,9 @@
 """Packing of documents into sequences by a grouping genetic algorithm on islands.
 
 Documents are tokenised and cut into pieces of at most CAPACITY tokens. Full pieces are sequences of their own; the others are dealt at
-random into shards of about SHARD_ITEMS pieces. ISLANDS populations evolve per shard: crossover injects whole well-filled bins of one
-parent into another, removes the bins that hold the same pieces, and best-fits the displaced ones; mutation empties the worst bins.
-After each epoch the elites of a shard's islands migrate to all of its islands; the best one wins. An island stops at the lower
+random into shards of about SHARD_ITEMS pieces. ISLANDS populations evolve per shard, from fits of the pieces in random order: crossover injects whole
+well-filled bins of one parent into another, removes the bins that hold the same pieces, and best-fits the displaced ones; mutation empties the worst
+bins. After each epoch the elites of a shard's islands migrate to all of its islands; the best one wins. An island stops at the lower
 bound, the tokens divided by the capacity, so a shard wastes less than a few sequences and there is one shard per SHARD_ITEMS pieces.
 
 Defined cases: a null or empty text is its end token only; a text longer than the capacity fills whole sequences first;
@@ -34,7 +34,7 @@ CACHE_CHUNKS = 500_000
 #: ASCII marks that never join a word of letters before them.
 MARKS = ".,;:!?%#"
 _CONTROL = re.compile("[\x1c-\x1f]")
-_ELITE = "shard long, island int, uids binary, lengths binary, bins binary, n_bins long, fitness double"
+_ELITE = "shard long, island int, uids binary, lengths binary, bins binary, n_bins long, fitness double, generations int"
 
 
 class ChunkIds:
@@ -188,39 +188,37 @@ def mutated(bins, lengths, capacity: int, rng) -> list[list[int]]:
     return best_fit([list(b) for k, b in enumerate(bins) if k not in drop], items, lengths, capacity)
 
 
-def evolve(lengths: list[int], elites: list, capacity: int, rng, population: int = POPULATION, generations: int = GENERATIONS):
-    """The best packing found from the given elites and new individuals."""
+def evolve(lengths: list[int], elites: list, capacity: int, rng, population: int = POPULATION, generations: int = GENERATIONS) -> tuple[list[list[int]], int]:
+    """The best packing bred from the given elites and random fits, and the generations it took: one at least, no more once the bound is met.
+
+    A generation crosses pairs of the better half both ways, mutates every other child, and keeps the best of parents and children.
+    """
     bound = -(-sum(lengths) // capacity)
-    down = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    key = lambda b: (len(b), -fitness(b, lengths, capacity))
-    pool = [*elites]
-    if not pool:
-        pool.append(best_fit([], down, lengths, capacity))
-    best = min(pool, key=key)
-    while len(best) > bound and len(pool) < population:
-        noisy = sorted(down, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.25))
-        pool.append(best_fit([], noisy, lengths, capacity))
-        best = min(pool, key=key)
-    for _ in range(generations):
-        if len(best) <= bound:
+    rated = lambda bins: (len(bins), -fitness(bins, lengths, capacity), bins)
+    pool = [rated(e) for e in elites]
+    while len(pool) < population:
+        pool.append(rated(best_fit([], rng.permutation(len(lengths)).tolist(), lengths, capacity)))
+    pool.sort(key=lambda r: r[:2])
+    for done in range(1, generations + 1):
+        children = []
+        for k in range(population // 2):
+            a, b = rng.permutation(max(2, population // 2))[:2]
+            child = crossover(pool[a][2], pool[b][2], lengths, capacity, rng)
+            children.append(rated(mutated(child, lengths, capacity, rng) if k % 2 else child))
+        pool = sorted(pool + children, key=lambda r: r[:2])[:population]
+        if pool[0][0] <= bound:
             break
-        pool.sort(key=key)
-        for k in range(len(pool) // 2):
-            a, b = rng.integers(0, len(pool) // 2 + 1, 2)
-            child = crossover(pool[a], pool[b], lengths, capacity, rng)
-            pool[-1 - k] = mutated(child, lengths, capacity, rng)
-        best = min(pool, key=key)
-    return best
+    return pool[0][2], done
 
 
-def _elite_row(shard: int, island: int, uids, lengths, bins, capacity: int) -> pa.Table:
+def _elite_row(shard: int, island: int, uids, lengths, bins, capacity: int, generations: int) -> pa.Table:
     where = np.zeros(len(lengths), np.int32)
     for k, b in enumerate(bins):
         where[b] = k
     cell = lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
     return pa.table([pa.array([shard], pa.int64()), pa.array([island], pa.int32()), cell(uids), cell(np.asarray(lengths, np.int32)), cell(where),
-                     pa.array([len(bins)], pa.int64()), pa.array([fitness(bins, lengths, capacity)], pa.float64())],
-                    names=["shard", "island", "uids", "lengths", "bins", "n_bins", "fitness"])
+                     pa.array([len(bins)], pa.int64()), pa.array([fitness(bins, lengths, capacity)], pa.float64()), pa.array([generations], pa.int32())],
+                    names=["shard", "island", "uids", "lengths", "bins", "n_bins", "fitness", "generations"])
 
 
 def _bins(packed: bytes) -> list[list[int]]:
@@ -231,7 +229,7 @@ def _bins(packed: bytes) -> list[list[int]]:
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS,
          epochs: int = EPOCHS, seed: int = 8) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
+    """Adds sequence_id, offset and generations (of the shard that packed the piece; 0 for a full one) to pieces (doc_id, piece, start, length, ids_crc32)."""
     rows = stored(parts, "pack-pieces").withColumn("uid", F.monotonically_increasing_id())
     small = rows.where(F.col("length") < capacity)
     shards = max(1, -(-small.count() // shard_items))
@@ -241,16 +239,17 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
         shard, island = key[0].as_py(), key[1].as_py()
         table = table.sort_by("uid")
         lengths = table["length"].to_pylist()
-        best = evolve(lengths, [], capacity, np.random.default_rng([seed, shard, island]))
-        return _elite_row(shard, island, table["uid"].to_numpy(), lengths, best, capacity)
+        best, done = evolve(lengths, [], capacity, np.random.default_rng([seed, shard, island]))
+        return _elite_row(shard, island, table["uid"].to_numpy(), lengths, best, capacity, done)
 
     def migrate(epoch: int):
         def run(key, table):
             shard, island = key[0].as_py(), key[1].as_py()
             lengths = np.frombuffer(table["lengths"][0].as_py(), np.int32).tolist()
             elites = [_bins(b) for b in table["bins"].to_pylist()]
-            best = evolve(lengths, elites, capacity, np.random.default_rng([seed, shard, island, epoch]))
-            return _elite_row(shard, island, np.frombuffer(table["uids"][0].as_py(), np.int64), lengths, best, capacity)
+            best, done = evolve(lengths, elites, capacity, np.random.default_rng([seed, shard, island, epoch]))
+            done += max(table["generations"].to_pylist())
+            return _elite_row(shard, island, np.frombuffer(table["uids"][0].as_py(), np.int64), lengths, best, capacity, done)
         return run
 
     each = F.explode(F.array(*[F.lit(k) for k in range(islands)]))
@@ -259,28 +258,28 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
         elites = elites.withColumn("island", each).groupBy("shard", "island").applyInArrow(migrate(epoch), _ELITE)
     elites = stored(elites, "pack-elites")
     best = elites.groupBy("shard").agg(F.min_by("island", F.struct("n_bins", -F.col("fitness"), "island")).alias("island"))
-    winners = elites.join(best, ["shard", "island"]).select("shard", "uids", "lengths", "bins")
+    winners = elites.join(best, ["shard", "island"]).select("shard", "uids", "lengths", "bins", "generations")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, uids, lengths, bins in zip(*(batch.column(c).to_pylist() for c in ("shard", "uids", "lengths", "bins"))):
+            for shard, uids, lengths, bins, done in zip(*(batch.column(c).to_pylist() for c in ("shard", "uids", "lengths", "bins", "generations"))):
                 uids, n, where = np.frombuffer(uids, np.int64), np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(bins, np.int32)
                 order = np.argsort(where, kind="stable")
                 before = np.cumsum(n[order]) - n[order]
                 first = np.concatenate(([True], np.diff(where[order]) > 0))
                 start = np.maximum.accumulate(np.where(first, before, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids[order]), pa.array(2 * ((shard << 32) + where[order].astype(np.int64))), pa.array(before - start)],
-                    names=["at", "sequence_id", "offset"])
+                    [pa.array(uids[order]), pa.array(2 * ((shard << 32) + where[order].astype(np.int64))), pa.array(before - start), pa.array(np.full(len(order), done, np.int32))],
+                    names=["at", "sequence_id", "offset", "generations"])
 
-    placed = winners.mapInArrow(place, "at long, sequence_id long, offset long")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    placed = winners.mapInArrow(place, "at long, sequence_id long, offset long, generations int")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "generations"]
     full = rows.where(F.col("length") >= capacity).select(
-        *columns[:5], (F.col("uid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        *columns[:5], (F.col("uid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("generations"))
     return full.unionByName(small.join(placed, F.col("uid") == F.col("at")).select(*columns))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS,
                    text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, generations."""
     return pack(pieces(docs, path, capacity, text, doc_id), capacity, shard_items)

@@ -194,6 +194,26 @@ def test_genetic_steps_keep_the_items():
     two = packing.best_fit([], sorted(range(400), key=lambda i: -lengths[i]), lengths, 4096)
     child = packing.mutated(packing.crossover(one, two, lengths, 4096, rng), lengths, 4096, rng)
     assert sorted(i for b in child for i in b) == list(range(400))
-    best = packing.evolve(lengths, [one], 4096, rng)
-    assert len(best) <= len(one) and sorted(i for b in best for i in b) == list(range(400))
+    best, done = packing.evolve(lengths, [one], 4096, rng)
+    assert done >= 1 and len(best) <= len(one) and sorted(i for b in best for i in b) == list(range(400))
     assert all(sum(lengths[i] for i in b) <= 4096 for b in best)
+
+
+def test_breeding_beats_its_random_parents(monkeypatch):
+    rng, lengths = np.random.default_rng(4), np.random.default_rng(5).integers(200, 2400, 600).tolist()
+    parents = [packing.best_fit([], rng.permutation(600).tolist(), lengths, 4096) for _ in range(6)]
+    crossed, plain = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: crossed.append(1) or plain(*a))
+    best, done = packing.evolve(lengths, parents, 4096, rng)
+    assert len(best) < min(map(len, parents)) and len(crossed) == 3 * done and sorted(i for b in best for i in b) == list(range(600))
+
+
+def test_generations_are_reported_and_bins_are_few(spark):
+    rng = np.random.default_rng(6)
+    lengths = np.minimum(rng.lognormal(6.2, 1.1, 1200).astype(int) + 1, 4096).tolist()
+    parts = spark.createDataFrame([(k, 0, 0, n, 7) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(parts, shard_items=400).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1200))
+    assert all(r["generations"] >= 2 for r in got if r["length"] < 4096)  # one an epoch at least
+    shards = {r["sequence_id"] >> 33 for r in got if r["length"] < 4096}
+    assert len({r["sequence_id"] for r in got}) <= -(-sum(lengths) // 4096) + 2 * len(shards)
