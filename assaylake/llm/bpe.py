@@ -2,7 +2,8 @@
 
 A text is cut at the literal special tokens, normalised and split into short words. A word's parts lie in one array of
 boundaries with the rank of each adjacent pair beside it: the smallest rank is found by a scan, its right boundary deleted,
-and the two neighbouring ranks refreshed, until no pair has a rank. Words repeat, so each task keeps the
+and the two neighbouring ranks refreshed, until no pair has a rank. A word of over LONG_WORD letters, where scans would be
+quadratic, keeps its ranks in a heap with the same order of merges. Words repeat, so each task keeps the
 results of up to CACHE_WORDS words and starts anew beyond. Decoding looks the ids up and joins the tokens with blanks, as the tokenizers library does
 for a vocabulary without a decoder.
 
@@ -13,6 +14,7 @@ so repeated rows, ties and null ids don't matter; an empty table gives no rows;
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ from .common import slices, text_of
 
 #: Words whose results a task keeps.
 CACHE_WORDS = 400_000
+#: Words of more letters take a heap instead of the scan, and are not cached.
+LONG_WORD = 512
 _NONE = 1 << 60
 
 # The pattern that splits normalised text into words, the word end mark, the white space that counts as one blank.
@@ -72,6 +76,8 @@ class Encoder:
         # part k reaches from one boundary to the next; the end mark belongs to the last letter
         bounds = [*range(len(text)), len(text) + len(WORD_END)]
         text += WORD_END
+        if len(bounds) > LONG_WORD:
+            return self._long_parts(text, bounds)
         rank = lambda k: get((text[bounds[k]:bounds[k + 1]], text[bounds[k + 1]:bounds[k + 2]]), _NONE)
         ranks = [rank(k) for k in range(len(bounds) - 2)]
         while ranks:
@@ -86,14 +92,50 @@ class Encoder:
                 ranks[k - 1] = rank(k - 1)
         return [text[a:b] for a, b in zip(bounds, bounds[1:])]
 
+    def _long_parts(self, text: str, bounds: list[int]) -> list[str]:
+        """The same for a long word: a heap of (rank, place) names the next pair, neighbours are linked, overtaken entries are skipped."""
+        get, n = self.ranks.get, len(bounds) - 1
+        after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), bounds[1:]
+        ranks = [_NONE] * n
+
+        def rank(k: int) -> int:
+            right = after[k]
+            return get((text[bounds[k]:ends[k]], text[bounds[right]:ends[right]]), _NONE) if right < n else _NONE
+
+        heap = []
+        for k in range(n):
+            ranks[k] = rank(k)
+            if ranks[k] != _NONE:
+                heap.append((ranks[k], k))
+        heapq.heapify(heap)
+        while heap:
+            low, k = heapq.heappop(heap)
+            if ranks[k] != low:
+                continue
+            gone = after[k]
+            ends[k], after[k], ranks[gone] = ends[gone], after[gone], _NONE
+            if after[k] < n:
+                before[after[k]] = k
+            for at in (k, before[k]):
+                if at >= 0:
+                    ranks[at] = rank(at)
+                    if ranks[at] != _NONE:
+                        heapq.heappush(heap, (ranks[at], at))
+        out, k = [], 0
+        while k < n:
+            out.append(text[bounds[k]:ends[k]])
+            k = after[k]
+        return out
+
     def word(self, word: str) -> tuple:
         """(number of ids, ids joined by blanks, tokens joined by blanks, ids as little-endian 32-bit words)"""
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
         parts = self.parts(word)
         ids = [self.ids[p] for p in parts]
-        out = self.cache[word] = (len(ids), " ".join(map(str, ids)), " ".join(parts),
-                                  b"".join(i.to_bytes(4, "little") for i in ids))
+        out = len(ids), " ".join(map(str, ids)), " ".join(parts), b"".join(i.to_bytes(4, "little") for i in ids)
+        if len(word) <= LONG_WORD:  # so the cache is bounded in bytes too
+            self.cache[word] = out
         return out
 
     def normal(self, text: str) -> str:

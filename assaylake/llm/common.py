@@ -51,6 +51,11 @@ def text_key(*columns: Column) -> Column:
     return F.when(number >= half, number - full).otherwise(number).cast("long")
 
 
+def text_digest(whole: Column) -> Column:
+    """A 128-bit key of whole values: the first 16 bytes of their SHA-256, for steps that drop what has the same key."""
+    return F.unhex(F.substring(F.sha2(whole, 256), 1, 32))
+
+
 # ---- packed columns -------------------------------------------------------------------------------------
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

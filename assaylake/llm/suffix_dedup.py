@@ -14,7 +14,8 @@ sorted in three steps, each exact:
    positions 0 mod 3 merged in, and neighbours with an equal prefix of LENGTH bytes marked.
 
 A core shared by more than HOT_SEGMENTS segments is not sorted in one task: its windows are counted by their hash, combined before
-the shuffle. Hashes have 64 bits; segments are compared under core and content hash together (128 bits).
+the shuffle. Texts are told apart by 128 bits of their SHA-256, segments by core and content hash together (128 bits); anchors and windows of hot
+cores, within a core, by 64.
 
 Defined cases: a null text is empty; a text shorter than LENGTH stays; rows with equal texts repeat each other; a null id
 is a document of its own; the cut may leave bytes that are no UTF-8, which `cut_text` drops; an empty table gives no rows; further columns are
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U, byte_lengths, combine, mix, offsets_and_bytes, slices, stored, text_key, text_of
+from .common import U, byte_lengths, combine, mix, offsets_and_bytes, slices, stored, text_digest, text_of
 
 LENGTH, GRAM, SPAN = 400, 64, 113
 HOT_SEGMENTS = 4000
@@ -267,14 +268,14 @@ def _candidates(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data"):
             offsets, data = offsets_and_bytes(batch.column("data"))
-            keys = batch.column("key").to_numpy()
+            keys = batch.column("key").to_pylist()
             for k in range(batch.num_rows):
                 anchor, grams = anchors(data[offsets[k]:offsets[k + 1]], length)
                 got, count = np.unique(grams[np.unique(anchor)], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(got), pa.array(np.full(len(got), keys[k])), pa.array(count.astype(np.int32))], names=["gram", "key", "n"])
+                    [_long(got), pa.array([keys[k]] * len(got), pa.binary()), pa.array(count.astype(np.int32))], names=["gram", "key", "n"])
 
-    grams = texts.mapInArrow(_joined(run), "gram long, key long, n int").groupBy("gram", "key").agg(F.max("n").alias("n"))
+    grams = texts.mapInArrow(_joined(run), "gram long, key binary, n int").groupBy("gram", "key").agg(F.max("n").alias("n"))
     grams = stored(grams, "suffix-anchors")
     twice = grams.groupBy("gram").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(F.col("gram").alias("g"))
     found = grams.join(twice, F.col("gram") == F.col("g"))
@@ -301,7 +302,7 @@ def _cut_documents(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            keys = batch.column("key").to_pylist()
             lists = batch.column("grams")
             for k, data in enumerate(batch.column("data").to_pylist()):
                 wanted = np.asarray(lists[k].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
@@ -318,10 +319,10 @@ def _cut_documents(texts: DataFrame, length: int) -> DataFrame:
                         seen.add(name)
                     cells.append(data[s:s + c + length - 1] if fresh else None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(start), keys[k])), pa.array(start), pa.array(count.astype(np.int32)), _long(core), _long(content),
+                    [pa.array([keys[k]] * len(start), pa.binary()), pa.array(start), pa.array(count.astype(np.int32)), _long(core), _long(content),
                      pa.array(cells, pa.binary())], names=["key", "first", "count", "core", "content", "data"])
 
-    return texts.mapInArrow(_joined(run, 4000), "key long, first long, count int, core long, content long, data binary")
+    return texts.mapInArrow(_joined(run, 4000), "key binary, first long, count int, core long, content long, data binary")
 
 
 def _sorted_cores(segments: DataFrame, length: int) -> DataFrame:
@@ -421,7 +422,7 @@ def _cuts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Of documents (doc_id, text, further columns): rows with __key, __bytes, __sha, copies (null for single texts) and all columns but the
     text; cut single texts (key, data, text, n_removed, n_spans)."""
     raw = text_of("text").cast("binary")
-    key = text_key(raw)
+    key = text_digest(raw)
     rows = docs.select(*[c for c in docs.columns if c != "text"], F.octet_length(raw).cast("long").alias("__bytes"), key.alias("__key"), F.sha2(raw, 256).alias("__sha"))
     rows = stored(rows, "suffix-rows")
     heads = rows.where(F.col("__bytes") >= length).groupBy("__key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("head"))
@@ -449,7 +450,7 @@ def _cuts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
     # a text with copies goes as a whole
     cuts = chosen.where("copies = 1").select("key", "data").join(places, F.col("key") == F.col("p")).select("key", "data", "places")
-    cuts = stored(cuts.mapInArrow(cut, "key long, data binary, text string, n_removed long, n_spans long"), "suffix-cuts")
+    cuts = stored(cuts.mapInArrow(cut, "key binary, data binary, text string, n_removed long, n_spans long"), "suffix-cuts")
     return rows.join(heads.where("copies > 1").select("__key", "copies"), "__key", "left"), cuts
 
 
@@ -471,9 +472,9 @@ def cut_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     _, cuts = _cuts(docs.select("doc_id", "text"), length)
     raw = text_of("text").cast("binary")
     large = docs.where(F.octet_length(raw) >= length)
-    copies = large.groupBy(text_key(raw).alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.lit("").alias("new"))
+    copies = large.groupBy(text_digest(raw).alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.lit("").alias("new"))
     new = cuts.select(F.col("key").alias("k"), F.col("text").alias("new")).unionByName(copies)
-    out = docs.withColumn("__key", text_key(raw)).join(new, (F.col("__key") == F.col("k")) & (F.octet_length(raw) >= length), "left")
+    out = docs.withColumn("__key", text_digest(raw)).join(new, (F.col("__key") == F.col("k")) & (F.octet_length(raw) >= length), "left")
     changed = F.col("new").isNotNull()
     return out.withColumns({"text": F.when(changed, F.col("new")).otherwise(F.col("text")),
                             "n_chars": F.when(changed, F.length("new").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.joins import hot_of_counts, salted_join
 from .common import shared_folder, stored
 
 MIN_REVISIT = 100
@@ -98,7 +99,9 @@ def marked(pages: DataFrame, minimum: int = MIN_REVISIT) -> DataFrame:
     rank = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "uid")
     large = rows.where(F.octet_length("payload") >= minimum)
     first = large.groupBy(F.col("digest").alias("d")).agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(first.select("d", "first"), F.col("digest") == F.col("d"), "left")
+    first = stored(first, "warc-first")
+    # the copies of a hot page are spread over several tasks
+    joined = salted_join(rows, first.select(F.col("d").alias("digest"), "first"), "digest", "left", hot_of_counts(first, "d", "n"))
     again = F.col("first").isNotNull() & (F.col("first.uid") != F.col("uid"))
     return joined.select("uid", "page_id", "url", "payload", again.alias("is_revisit"), F.when(again, F.col("first.page_id")).alias("refers_to"))
 

@@ -217,3 +217,31 @@ def test_generations_are_reported_and_bins_are_few(spark):
     assert all(r["generations"] >= 2 for r in got if r["length"] < 4096)  # one an epoch at least
     shards = {r["sequence_id"] >> 33 for r in got if r["length"] < 4096}
     assert len({r["sequence_id"] for r in got}) <= -(-sum(lengths) // 4096) + 2 * len(shards)
+
+
+def test_long_words_equal_the_library_in_linear_time(library, monkeypatch):
+    import random
+    import time
+    rng = random.Random(2)
+    words = ["".join(rng.choice(a) for _ in range(n)) for n in (1, 2, 3, 511, 512, 513, 2000) for a in ("ab", "etaoinshrdlu", "漢字仮名", "aé")]
+    enc = bpe.Encoder(bpe.default_vocabulary())
+    for w in words:
+        want = library.encode(w, add_special_tokens=False).ids
+        monkeypatch.setattr(bpe, "LONG_WORD", 10 ** 9)
+        assert [enc.ids[p] for p in enc.parts(w)] == want
+        monkeypatch.setattr(bpe, "LONG_WORD", 0)  # the heap for all
+        assert [enc.ids[p] for p in enc.parts(w)] == want
+    monkeypatch.undo()
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(100_000))
+    start = time.process_time()
+    assert enc.encode(long) == library.encode(long, add_special_tokens=False).ids and long not in enc.cache
+    assert time.process_time() - start < 20
+
+
+def test_a_hot_page_is_archived_in_several_tasks(spark):
+    rows = [(k, "u", "<p>hot</p>" * 40 if k % 3 else f"page {k} " * 30) for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("x"), "first": F.lit(1)})
+    got = warc.marked(pages).withColumn("task", F.spark_partition_id()).collect()
+    hot = [r for r in got if r["page_id"] % 3]
+    assert len(got) == 400 and len({r["task"] for r in hot}) > 1
+    assert all(r["refers_to"] == (1 if r["page_id"] > 1 else None) for r in hot) and sum(r["is_revisit"] for r in got) == len(hot) - 1
