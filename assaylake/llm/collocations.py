@@ -33,6 +33,7 @@ from .common import slices, stored, text_of
 
 LEAST, LONGEST, TOP, SHARE = 10, 3, 2000, 50
 SLICE_BYTES = 4 << 20
+PARTS = 64
 #: Different phrases of slices in one shard, on average at most.
 SHARD_ROWS = 2_000_000
 _MAP = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -350,6 +351,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
             return F.struct(score(F.col("a"), left, right).alias("score"), k.alias("k"), left.alias("l"), right.alias("r"))
         rows = rows.withColumn("cut", F.array_min(F.transform("lefts", cut))).select("lang", F.col("text").alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
         kept = rows if kept is None else kept.unionByName(rows)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # the first of each part first, so that a language's last ranking gets PARTS * top rows at most
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    kept = kept.withColumn("part", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("part") <= top).drop("part")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
