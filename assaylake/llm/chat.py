@@ -33,7 +33,7 @@ def parsed(messages: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), "[^>]", "")).alias("level"),
         F.regexp_replace(line, MARKS, "").alias("body")))
     rows = messages.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), "conv_id", "turn", "role", lines.alias("lines"))
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("conv"), "conv_id", "turn", "role", lines.alias("lines"))
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     return rows.withColumn("own", F.trim(own))
 
