@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequence as S
 from ..session import cut_lineage, shuffle_partitions
-from .joins import attach_row, hot_keys, salted_join
+from .joins import attach_row, hot_keys, hot_of_counts, salted_join
 
 BLOCK = 512
 SKETCH = 16
 #: Slots of the table that orders k-mers.
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 _LOW = 55  # bits of a k-mer's hash below its commonness
 
 
@@ -36,14 +36,23 @@ def signature_classes(rows: DataFrame, ident: str, key: str, k: int) -> tuple[Da
     The way back to rows is a salted join, as one class may hold most rows. Strings shorter than k have
     no profile (similarity 0) and are left out of `sets`.
     """
-    signed = cut_lineage(rows.select(ident, S.kmer_signature(F.col(key), k).alias("signature")))
+    # the strings are made once and dealt out evenly, however few files they come from
+    rows = cut_lineage(rows.select(ident, key).repartition(shuffle_partitions(rows.sparkSession), ident))
+    # equal multisets have equal marks; only rows whose mark repeats need the signature, which sorts all k-mers
+    mark = F.aggregate(F.transform(S.kmers(F.col(key), k), lambda g: F.xxhash64(g)), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    marked = cut_lineage(rows.select(ident, F.struct(F.length(key).alias("size"), mark.alias("mark")).alias("mark")))
+    marks = cut_lineage(marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n")))
+    told = cut_lineage(salted_join(marked, marks, "mark", hot=hot_of_counts(marks, "mark", "n")).select(ident, (F.col("n") > 1).alias("repeats")))
+    signed = rows.join(told.where("repeats").select(ident), ident, "left_semi")
+    signed = cut_lineage(signed.select(ident, S.kmer_signature(F.col(key), k).alias("signature")))
     reps = signed.groupBy("signature").agg(F.min(ident).alias("rep"))
-    members = cut_lineage(salted_join(signed, reps, "signature").select(ident, "rep"))
+    members = told.where("NOT repeats").select(ident, F.col(ident).alias("rep")).unionByName(salted_join(signed, reps, "signature").select(ident, "rep"))
+    members = cut_lineage(members)
     leaders = members.where(F.col(ident) == F.col("rep")).select(ident)
-    texts = rows.select(ident, key).where(F.length(key) >= k).join(leaders, ident, "left_semi")
+    texts = rows.where(F.length(key) >= k).join(leaders, ident, "left_semi")
     sets = texts.select(F.col(ident).alias("id"), (F.length(key) - (k - 1)).cast("long").alias("size"),
                         F.col(key).alias("key"))
-    return members, cut_lineage(sets.repartition(shuffle_partitions(rows.sparkSession), "id"))
+    return members, cut_lineage(sets)
 
 
 def as_sets(rows: DataFrame, ident: str, key: str, k: int) -> DataFrame:
@@ -132,15 +141,12 @@ def _candidates(found: DataFrame, t: Fraction) -> DataFrame:
     so the overlap is at most the one seen plus the longer suffix, and must reach t / (1 + t) of both sizes.
     """
     fits = F.least("size_a", "size_b") * t.denominator >= F.greatest("size_a", "size_b") * t.numerator
-    swap = F.col("id_a") > F.col("id_b")
-    pairs = found.where(fits).groupBy(
-        F.when(swap, F.col("id_b")).otherwise(F.col("id_a")).alias("a"),
-        F.when(swap, F.col("id_a")).otherwise(F.col("id_b")).alias("b")).agg(
-        F.sum(F.least("n_a", "n_b")).alias("seen"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
     suffix = F.greatest(_need(F.col("size_a"), t), _need(F.col("size_b"), t)) - 1
-    enough = ((F.col("seen") + suffix) * (t.numerator + t.denominator)
-              >= (F.col("size_a") + F.col("size_b")) * t.numerator)
-    return pairs.where(enough).select("a", "b")
+    # (seen + suffix) * (numerator + denominator) >= (size_a + size_b) * numerator, as one number a pair
+    least = (F.col("size_a") + F.col("size_b")) * t.numerator - suffix * (t.numerator + t.denominator)
+    pairs = found.where(fits).groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(
+        F.sum(F.least("n_a", "n_b")).alias("seen"), F.min(least).alias("least"))
+    return pairs.where(F.col("seen") * (t.numerator + t.denominator) >= F.col("least")).select("a", "b")
 
 
 def _side(rows: DataFrame, tag: str) -> DataFrame:
@@ -148,13 +154,15 @@ def _side(rows: DataFrame, tag: str) -> DataFrame:
 
 
 def _blocked(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of left and right rows with the same k-mer. A long list is cut into blocks
+    """Pairs of left and right rows with the same k-mer. Short lists meet as they are. A long list is cut into blocks
     per side and every block pair is its own join key, so no task meets more than about BLOCK x BLOCK."""
+    short = _side(left.where("blocks = 1").drop("blocks"), "a").join(_side(right.where("blocks = 1").drop("blocks"), "b"), "kmer")
+    left, right = left.where("blocks > 1"), right.where("blocks > 1")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a = _side(left.withColumn("blk_a", own).withColumn("blk_b", every).drop("blocks"), "a")
     b = _side(right.withColumn("blk_b", own).withColumn("blk_a", every).drop("blocks"), "b")
-    return a.join(b, ["kmer", "blk_a", "blk_b"])
+    return short.unionByName(a.join(b, ["kmer", "blk_a", "blk_b"]).drop("blk_a", "blk_b"))
 
 
 def similar_pairs(sets: DataFrame, threshold: float | Fraction, k: int) -> DataFrame:
@@ -184,23 +192,18 @@ def hub_pairs(sets: DataFrame, t: Fraction, k: int) -> DataFrame:
 
 
 def cross_component_pairs(prefix: DataFrame, t: Fraction) -> DataFrame:
-    """Candidate pairs whose ends lie in different components (`comp`). Components meet first, then only
-    members of different components are paired: a list of one big group of copies yields nothing."""
-    mixed = prefix.groupBy("kmer").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("kmer")
-    prefix = cut_lineage(prefix.join(mixed, "kmer", "left_semi"))
-    heads = prefix.groupBy("kmer", "comp").agg(
-        F.count(F.lit(1)).alias("c"), F.min("blocks").alias("blocks"), F.min("id").alias("member"), F.min("size").alias("size"), F.min("n").alias("n"))
-    heads = cut_lineage(heads.withColumnRenamed("comp", "id"))
-    # most components have one member in a list: these meet as they are
-    single = heads.where("c = 1").select("kmer", "id", "blocks", "member", "size", "n")
-    plain = _blocked(single, single).where(F.col("id_a") < F.col("id_b")).drop("id_a", "id_b").withColumnsRenamed({"member_a": "id_a", "member_b": "id_b"})
-    met = _blocked(heads.where("c > 1").select("kmer", "id", "blocks"), heads.select("kmer", "id", "blocks", "c"))
-    met = met.where((F.col("id_a") != F.col("id_b")) & ((F.col("c_b") == 1) | (F.col("id_a") < F.col("id_b")))).select(
-        "kmer", F.col("id_a").alias("comp_a"), F.col("id_b").alias("comp_b"))
-    a, b = _side(prefix.drop("blocks"), "a"), _side(prefix.drop("blocks"), "b")
-    grouped = met.join(a, ["kmer", "comp_a"]).join(b, ["kmer", "comp_b"])
+    """Candidate pairs whose ends lie in different components (`comp`; `lone` says that it has one member). Lone profiles meet as they are.
+    Of larger components heads meet first, then only members of different components are paired: a list of one big group of copies yields nothing."""
+    alone = prefix.where("lone").select("kmer", "id", "blocks", "size", "n")
+    plain = _blocked(alone, alone).where(F.col("id_a") < F.col("id_b"))
+    grouped = prefix.where("NOT lone")
+    heads = cut_lineage(grouped.groupBy("kmer", "comp").agg(F.min("blocks").alias("blocks")).select("kmer", F.col("comp").alias("id"), "blocks"))
+    met = _blocked(heads, heads).where(F.col("id_a") < F.col("id_b")).select("kmer", F.col("id_a").alias("comp_a"), F.col("id_b").alias("comp_b"))
+    a, b = _side(grouped.drop("blocks", "lone"), "a"), _side(grouped.drop("blocks", "lone"), "b")
     columns = ["id_a", "id_b", "size_a", "size_b", "n_a", "n_b"]
-    return _candidates(plain.select(*columns).unionByName(grouped.select(*columns)), t)
+    both = met.join(a, ["kmer", "comp_a"]).join(b, ["kmer", "comp_b"]).select(*columns)
+    mixed = _blocked(grouped.select("kmer", "id", "blocks", "size", "n"), alone).select(*columns)
+    return _candidates(plain.select(*columns).unionByName(both).unionByName(mixed), t)
 
 
 def max_cross_jaccard(members: DataFrame, sets: DataFrame, k: int, train: str = "train") -> DataFrame:
