@@ -34,15 +34,17 @@ CACHE_CHUNKS = 500_000
 #: ASCII marks that never join a word of letters before them.
 MARKS = ".,;:!?%#"
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: Latin-1 letters in lower case, its blanks beyond ASCII as a blank.
+_LOWER = bytes(32 if b in (0x85, 0xA0) else chr(b).lower().encode("latin-1")[0] for b in range(256))
 _ELITE = "shard long, island int, uids binary, lengths binary, bins binary, n_bins long, fitness double, generations int"
 
 
 class ChunkIds:
     """Token ids by the tokenizers library, for chunks between blanks that are not known yet.
 
-    No token crosses a blank, so the ids of a text are those of its chunks. A new chunk of letters with marks behind it is its
-    word and its marks; new words go to the library in one text, whose ids part at the tokens that end a word. Two generations of
-    CACHE_CHUNKS chunks are kept.
+    No token crosses a blank, so the ids of a text are those of its chunks. A text of Latin-1 letters is lowered as a whole, as the library does letter by
+    letter, and its chunks are bytes. A new chunk of letters with marks behind it is its word and its marks; new words go to the library in one text,
+    whose ids part at the tokens that end a word. Two generations of CACHE_CHUNKS chunks are kept.
     """
 
     def __init__(self, path: str):
@@ -53,8 +55,8 @@ class ChunkIds:
         self.library.no_padding()
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(WORD_END)]] = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[str | bytes, bytes] = {}
+        self.old: dict[str | bytes, bytes] = {}
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of words of letters only."""
@@ -70,39 +72,51 @@ class ChunkIds:
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _find(self, missing: list[str]) -> None:
+    def _find(self, missing: list[str | bytes]) -> None:
         """Adds the ids of new chunks."""
         new, old = self.new, self.old
-        words, others = {}, {}
+        words, others = {}, {}  # the key of a chunk and its text
         chunks, lows, tails = [], [], []
         for c in missing:
-            word = c.rstrip(MARKS)
-            if not word.isalpha():
-                others[c] = None
+            text = c if isinstance(c, str) else c.decode("latin-1")
+            word = text.rstrip(MARKS)
+            if not word.isalpha() or "İ" in word:  # its lower case ends in a mark, which joins those behind it
+                others[c] = text
                 continue
-            low = word.lower() if word.isascii() or max(word) < "\u0100" else word
-            if low == c:
-                words[c] = None
+            low = word.lower() if isinstance(c, str) and (word.isascii() or max(word) < "\u0100") else word
+            if low == text:
+                words[c] = text
                 continue
-            if low not in new and low not in words:
-                if low in old:
-                    new[low] = old[low]
+            key = low if isinstance(c, str) else c[:len(word)]
+            if key not in new and key not in words:
+                if key in old:
+                    new[key] = old[key]
                 else:
-                    words[low] = None
+                    words[key] = low
             tail = c[len(word):]
-            others[tail] = None
+            others[tail] = text[len(word):]
             chunks.append(c)
-            lows.append(low)
+            lows.append(key)
             tails.append(tail)
-        new.update(zip(words, self._words(list(words))))
-        new.update(zip(others, self._chunks(list(others))))
+        new.update(zip(words, self._words(list(words.values()))))
+        new.update(zip(others, self._chunks(list(others.values()))))
         for c, low, tail in zip(chunks, lows, tails):
             new[c] = new[low] + new[tail]
 
+    @staticmethod
+    def _split(text: str) -> list:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            raw = None
+        if raw is None or b"<|" in raw:  # special tokens count as they are written
+            # control characters part words for str.split only: such texts are one chunk
+            return [text] if _CONTROL.search(text) else text.split()
+        return raw.translate(_LOWER).split()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit words."""
-        # control characters part words for str.split only: such texts are one chunk
-        split = [[t] if _CONTROL.search(t) else t.split() for t in texts]
+        split = [self._split(t) for t in texts]
         fresh = set(itertools.chain.from_iterable(split)).difference(self.new)
         again = fresh & self.old.keys()
         self.new.update(zip(again, map(self.old.__getitem__, again)))

@@ -245,3 +245,15 @@ def test_a_hot_page_is_archived_in_several_tasks(spark):
     hot = [r for r in got if r["page_id"] % 3]
     assert len(got) == 400 and len({r["task"] for r in hot}) > 1
     assert all(r["refers_to"] == (1 if r["page_id"] > 1 else None) for r in hot) and sum(r["is_revisit"] for r in got) == len(hot) - 1
+
+
+def test_chunks_equal_the_library_on_odd_letters(library):
+    import random
+    rng = random.Random(1)
+    letters = [chr(c) for c in range(256)] + list("Σςİıſß漢 <|endoftext|>'sAÀ×ŸĀµ") + [" "] * 40 + list("ABCabc.,;") * 6
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 80))) for _ in range(3000)]
+    texts += ["<|ENDOFTEXT|> A <|endoftext|> B", "don'T O'S l'É x\xa0y\x85z a\x1cb", "Ἄ é É", "ÀÉÎÕÜ ÿ Ÿ ß ẞ µ", "yİ; İ.", "Word, WORD. word", ""]
+    chunks = packing.ChunkIds(bpe.default_vocabulary())
+    for k in range(0, len(texts), 400):
+        for t, ids in zip(texts[k:k + 400], chunks(texts[k:k + 400])):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
