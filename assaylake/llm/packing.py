@@ -157,49 +157,68 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, t
 
 # ---- the algorithm on one shard: bins are lists of item numbers ------------------------------------------
 
-def best_fit(bins: list[list[int]], items, lengths, capacity: int) -> list[list[int]]:
+class Bins(list):
+    """A packing: lists of item numbers, and beside them how full each is."""
+
+    def __init__(self, bins=(), fills=()):
+        super().__init__(bins)
+        self.fills = list(fills)
+
+
+def filled(bins, lengths) -> Bins:
+    return bins if isinstance(bins, Bins) else Bins(bins, [sum(map(lengths.__getitem__, b)) for b in bins])
+
+
+def best_fit(bins, items, lengths, capacity: int) -> Bins:
     """Puts each item into the fullest bin that still takes it, or a new one."""
-    free = sorted((capacity - sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
+    bins = filled(bins, lengths)
+    fills = bins.fills
+    free = sorted(zip([capacity - f for f in fills], range(len(fills))))
     for i in items:
         n = lengths[i]
         at = bisect.bisect_left(free, (n, -1))
         if at == len(free):
             bins.append([i])
-            bisect.insort(free, (capacity - n, len(bins) - 1))
+            fills.append(n)
+            bisect.insort(free, (capacity - n, len(fills) - 1))
         else:
             room, k = free.pop(at)
             bins[k].append(i)
+            fills[k] += n
             bisect.insort(free, (room - n, k))
     return bins
 
 
 def fitness(bins, lengths, capacity: int) -> float:
     """Mean squared fill: prefers full bins beside empty room that can be emptied."""
-    return sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / len(bins)
+    return sum([(f / capacity) ** 2 for f in filled(bins, lengths).fills]) / len(bins)
 
 
-def crossover(one, two, lengths, capacity: int, rng) -> list[list[int]]:
+def crossover(one, two, lengths, capacity: int, rng) -> Bins:
     """Injects well-filled bins of `two` into `one`."""
-    fill = sorted(range(len(two)), key=lambda k: -sum(lengths[i] for i in two[k]))
-    good = fill[:max(1, len(fill) // 2)]
-    injected = [list(two[k]) for k in rng.permutation(good)[:max(1, len(good) // 2)]]
-    taken = {i for b in injected for i in b}
-    kept, displaced = [], []
-    for b in one:
+    one, two = filled(one, lengths), filled(two, lengths)
+    order = sorted(range(len(two)), key=lambda k: -two.fills[k])
+    good = order[:max(1, len(order) // 2)]
+    chosen = rng.permutation(good)[:max(1, len(good) // 2)].tolist()
+    child = Bins([list(two[k]) for k in chosen], [two.fills[k] for k in chosen])
+    taken, displaced = set(itertools.chain.from_iterable(child)), []
+    for b, fill in zip(one, one.fills):
         if taken.isdisjoint(b):
-            kept.append(list(b))
+            child.append(list(b))
+            child.fills.append(fill)
         else:
             displaced += [i for i in b if i not in taken]
-    return best_fit(injected + kept, sorted(displaced, key=lambda i: -lengths[i]), lengths, capacity)
+    return best_fit(child, sorted(displaced, key=lambda i: -lengths[i]), lengths, capacity)
 
 
-def mutated(bins, lengths, capacity: int, rng) -> list[list[int]]:
+def mutated(bins, lengths, capacity: int, rng) -> Bins:
     """Empties the worst-filled bin and a few others, and best-fits their items in a shuffled order."""
-    order = sorted(range(len(bins)), key=lambda k: sum(lengths[i] for i in bins[k]))
-    drop = set(order[:1]) | set(rng.integers(0, len(bins), 3).tolist())
+    bins = filled(bins, lengths)
+    drop = {min(range(len(bins)), key=bins.fills.__getitem__)} | set(rng.integers(0, len(bins), 3).tolist())
     items = [i for k in drop for i in bins[k]]
     rng.shuffle(items)
-    return best_fit([list(b) for k, b in enumerate(bins) if k not in drop], items, lengths, capacity)
+    stay = [k for k in range(len(bins)) if k not in drop]
+    return best_fit(Bins([list(bins[k]) for k in stay], [bins.fills[k] for k in stay]), items, lengths, capacity)
 
 
 def evolve(lengths: list[int], elites: list, capacity: int, rng, population: int = POPULATION, generations: int = GENERATIONS) -> tuple[list[list[int]], int]:
@@ -209,7 +228,7 @@ def evolve(lengths: list[int], elites: list, capacity: int, rng, population: int
     """
     bound = -(-sum(lengths) // capacity)
     rated = lambda bins: (len(bins), -fitness(bins, lengths, capacity), bins)
-    pool = [rated(e) for e in elites]
+    pool = [rated(filled(e, lengths)) for e in elites]
     while len(pool) < population:
         pool.append(rated(best_fit([], rng.permutation(len(lengths)).tolist(), lengths, capacity)))
     pool.sort(key=lambda r: r[:2])
