@@ -40,7 +40,7 @@ def signature_classes(rows: DataFrame, ident: str, key: str, k: int) -> tuple[Da
     rows = cut_lineage(rows.select(ident, key).repartition(shuffle_partitions(rows.sparkSession), ident))
     # equal multisets have equal marks; only rows whose mark repeats need the signature, which sorts all k-mers
     mark = F.aggregate(F.transform(S.kmers(F.col(key), k), lambda g: F.xxhash64(g)), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-    marked = cut_lineage(rows.select(ident, F.struct(F.length(key).alias("size"), mark.alias("mark")).alias("mark")))
+    marked = cut_lineage(rows.select(ident, F.struct(F.greatest(F.length(key) - (k - 1), F.lit(0)).alias("size"), mark.alias("mark")).alias("mark")))
     marks = cut_lineage(marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n")))
     told = cut_lineage(salted_join(marked, marks, "mark", hot=hot_of_counts(marks, "mark", "n")).select(ident, (F.col("n") > 1).alias("repeats")))
     signed = rows.join(told.where("repeats").select(ident), ident, "left_semi")

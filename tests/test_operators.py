@@ -73,6 +73,14 @@ def test_pairs_and_families_match_brute_force(spark, t):
     assert fam == brute_families(seqs, t, 3)
 
 
+def test_strings_without_a_profile_are_one_class(spark):
+    seqs = ["", "A", "AC", "GG", "ACD", "DCA", "ACDAC", "CDACD", None]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, key string")
+    members, sets = Sim.signature_classes(rows, "id", "key", 3)
+    rep = {r["id"]: r["rep"] for r in members.collect()}
+    assert rep == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8} and sorted(r["id"] for r in sets.collect()) == [4, 5, 6]
+
+
 def test_hot_lists_are_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(Sim, "BLOCK", 4)
     seqs = peptides(60, 3)
