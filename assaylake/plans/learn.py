@@ -11,6 +11,7 @@ from ..operators import features as X, linear as A, metrics as M, models as L, s
 from ..session import cut_lineage
 from . import bindings as B
 from .catalog import query
+from .censor import cdf_sql
 from .census import rounded
 from .rows import _SCORING_ROWS, scoring_rows
 from .similar import _KSPLIT, controlled
@@ -236,7 +237,12 @@ def seed_ensemble(spark, d):
     return rounded(M.regression_metrics(L.seed_ensemble(seed_predictions(spark, d))).select("n", "r2", "rmse"))
 
 
-@query("rank_ensemble")
+@query("rank_ensemble", f"""WITH {B.ASSAY}, s AS (SELECT unnest([{', '.join(map(str, SEEDS))}]) AS seed),
+q AS (SELECT row_id, any_value(y) AS y, avg(round((pred + (row_id * seed) % 11 - 5 - 40) / 40, 3)) AS z FROM assay, s GROUP BY row_id),
+t AS (SELECT list_sort(list(y)) AS l, count(*) AS n FROM assay WHERE split = 'train'),
+k AS (SELECT y, l, n, least(greatest({cdf_sql('z')}, 0.5 / n), 1 - 0.5 / n) * (n - 1) AS pos FROM q, t),
+p AS (SELECT y, l[CAST(floor(pos) AS BIGINT) + 1] * (1 - (pos - floor(pos))) + l[CAST(least(floor(pos) + 1, n - 1) AS BIGINT) + 1] * (pos - floor(pos)) AS pred FROM k)
+SELECT count(*) AS n, round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse FROM p""")
 def rank_ensemble(spark, d):
     """Seed predictions averaged as normal scores, mapped back through the train quantiles."""
     preds = seed_predictions(spark, d).withColumn("z", F.round((F.col("pred") - 40) / 40, 3))
