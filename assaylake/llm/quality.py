@@ -1,13 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-A bounded sample of trusted documents gives trigram counts: TRAIN_PER_LANG per language, half of its documents at most; beyond TRAIN_DOCS in all
-the languages with most are lowered to a common level, of LANG_FLOOR at least, so the sample grows with the languages only. Continuation
+All trusted documents are used: one half, drawn by id, gives trigram counts, the other the thresholds. Continuation
 counts, discounts and back-off weights are groupings of them. Each stored n-gram then has one number, such that the log
 probability of a text is the sum of the numbers of its words, bigrams and trigrams that are stored: a word carries its own
 probability and its weight as a context, a bigram or trigram the gain over what the shorter ones say. So
 a text is scored by a join of its n-gram counts with the model, cut into SHARDS by hash. A bit filter of fixed size tells a task which n-grams
 can be stored, so the others, which add nothing, don't move. Texts are packed per shard and, so that no group outgrows a
-task, per slice of texts; each slice reads the shards of the bounded model.
+task, per slice of texts; each slice reads the shards of the model.
 
 The mean log loss is drawn towards the language's by PRIOR_TOKENS tokens, as short texts say little. A document is rejected above the
 QUANTILE of those trusted documents of its language that the model was not trained on. The mean hides repetition, as frequent words are
@@ -115,24 +114,26 @@ def sample_level(wanted: list[tuple[float, int]]) -> float:
     return TRAIN_PER_LANG
 
 
-def training_ids(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """A bounded sample of the documents whose id is in trusted (doc_id): in expectation the level of `sample_level` or half of a language.
+def training_ids(docs: DataFrame, trusted: DataFrame, bounded: bool = True) -> DataFrame:
+    """Half of the documents whose id is in trusted (doc_id); if `bounded`, of each language in expectation the level of `sample_level` at most.
     Of each language with two documents or more the lowest draw is always in and the highest never."""
     ids = docs.select("doc_id", _language(F.col("lang")).alias("lang")).join(trusted.select("doc_id").distinct(), "doc_id").distinct()
     draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     ids = stored(ids.withColumn("draw", draw), "quality-trusted")
     at = F.struct("draw", "doc_id")
     sizes = stored(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last")), "quality-sizes")
-    # at most 2 * TRAIN_PER_LANG different numbers
-    wanted = sizes.groupBy(F.least(F.col("n") / 2, F.lit(float(TRAIN_PER_LANG))).alias("m")).count().collect()
-    share = F.least(F.lit(float(sample_level([(r["m"], r["count"]) for r in wanted]))) / F.col("n"), F.lit(0.5))
+    share = F.lit(0.5)
+    if bounded:
+        # at most 2 * TRAIN_PER_LANG different numbers
+        wanted = sizes.groupBy(F.least(F.col("n") / 2, F.lit(float(TRAIN_PER_LANG))).alias("m")).count().collect()
+        share = F.least(F.lit(float(sample_level([(r["m"], r["count"]) for r in wanted]))) / F.col("n"), share)
     drawn = (F.col("draw") < share) | (F.col("doc_id") == F.col("first.doc_id"))
     return stored(ids.join(sizes, "lang").where(drawn & (F.col("doc_id") != F.col("last.doc_id"))).select("doc_id"), "quality-sample")
 
 
 def training_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """lang and text of the sampled documents; their ids, bounded by `sample_level`, are broadcast."""
-    return docs.select("doc_id", _language(F.col("lang")).alias("lang"), text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
+    """lang and text of the chosen documents."""
+    return docs.select("doc_id", _language(F.col("lang")).alias("lang"), text_of("text").alias("text")).join(chosen, "doc_id", "left_semi")
 
 
 def trigrams(texts: DataFrame) -> DataFrame:
@@ -216,7 +217,7 @@ def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_filter(model: DataFrame) -> np.ndarray:
-    """A bit filter of 2**FILTER_BITS bits of the model's keys: 16 MB whatever the input; the model is bounded by its sample."""
+    """A bit filter of 2**FILTER_BITS bits of the model's keys: 16 MB whatever the input; with a larger model it lets more n-grams pass that are not stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
@@ -318,7 +319,7 @@ def log_scores(texts: DataFrame, model: DataFrame, n_slices: int = 1) -> DataFra
 def scored(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR_TOKENS) -> DataFrame:
     """One row per document (doc_id, lang, text): doc_id, lang, text_key, tokens, perplexity, threshold, distinct_share, least_share, kept."""
     rows = docs.select("doc_id", "lang", text_of("text").alias("text"), _language(F.col("lang")).alias("l"))
-    chosen = training_ids(docs, trusted)
+    chosen = training_ids(docs, trusted, bounded=False)
     model, langs = fitted(training_texts(docs, chosen))
     key = text_key(F.col("l"), F.col("text"))
     keys = stored(rows.select("doc_id", "lang", "l", key.alias("key"), F.octet_length("text").cast("long").alias("bytes")), "quality-keys")
@@ -330,7 +331,7 @@ def scored(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, prio
     losses = stored(losses.select("doc_id", "lang", "l", "key", tokens.cast("long").alias("tokens"), F.coalesce("distinct", F.lit(0)).cast("long").alias("distinct"),
                                   "loss", "unknown"), "quality-losses")
     # the trusted documents that the model has not seen, of languages that it has
-    good = losses.where("unknown is not null").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").join(F.broadcast(chosen), "doc_id", "left_anti")
+    good = losses.where("unknown is not null").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").join(chosen, "doc_id", "left_anti")
     means = good.groupBy("l").agg((F.sum("loss") / F.sum("tokens")).alias("mean"), (F.sum("distinct") / F.sum("tokens")).alias("usual"))
     shrunk = (F.col("loss") + prior * F.col("mean")) / (F.col("tokens") + prior)
     share = (F.col("distinct") + prior * F.col("usual")) / (F.col("tokens") + prior)

@@ -161,6 +161,17 @@ def test_rare_language_is_sampled_beside_a_large_one(spark, monkeypatch):
     assert got[50_002]["threshold"] is not None and got[50_003]["threshold"] is None and got[50_003]["kept"]
 
 
+def test_every_trusted_document_is_used(spark, monkeypatch):
+    # the counts came from a few documents of a large language before, whatever its size
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 4)
+    monkeypatch.setattr(quality, "LANG_FLOOR", 2)
+    docs = frame(spark, [(i, "a b c d%d" % i, "en", 0) for i in range(400)])
+    seen, plain = [], quality.fitted
+    monkeypatch.setattr(quality, "fitted", lambda texts: seen.append(texts.count()) or plain(texts))
+    assert quality.scored(docs, docs.select("doc_id")).count() == 400
+    assert 150 < seen[0] < 250
+
+
 def test_level_lowers_only_large_languages():
     assert quality.sample_level([(300.0, 2), (50.0, 3)]) == 300
     assert quality.sample_level([(300.0, 4), (20.0, 2)]) == 240
