@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assaylake import registry as R
 from assaylake.functions import clean as C
 from assaylake.operators import censoring as Z, features as X, metrics as M, prepare as P, rank as K, replicates as Rep
-from assaylake.operators import joins as J, similarity as Sim, splits as Sp
+from assaylake.operators import joins as J, overlap as O, similarity as Sim, splits as Sp
 from assaylake.operators.families import connected_components, families
 
 
@@ -91,6 +91,32 @@ def test_hot_lists_are_split_into_blocks(spark, monkeypatch):
     assert got == [(i, j) for i, j in itertools.combinations(reps, 2) if py_jaccard(seqs[i], seqs[j], 3) >= 0.35]
 
 
+def test_parts_and_blocks_lose_no_pair(spark, monkeypatch):
+    # the token lists of a pair moved as strings before; now a token is three bytes, in many small tasks here
+    monkeypatch.setattr(O, "GROUP_TOKENS", 40)
+    monkeypatch.setattr(O, "PARTS", 8)
+    monkeypatch.setattr(O, "MEET", 50)
+    seqs = peptides(60, 4)
+    sets = Sim.as_sets(spark.createDataFrame(list(enumerate(seqs)), "id long, key string"), "id", "key", 3)
+    t = Sim.as_fraction(0.35)
+    want = {(i, j) for i, j in itertools.combinations(range(60), 2) if py_jaccard(seqs[i], seqs[j], 3) >= 0.35}
+    got = {(r["a"], r["b"]) for r in O.candidate_pairs(sets, t, 3).collect()}
+    assert want <= got and len(want) > 20
+    probes = {(r["a"], r["b"]) for r in O.candidate_pairs(sets, t, 3, role=F.when(F.col("id") % 7 == 0, 3).otherwise(2)).collect()}
+    assert {p for p in want if p[0] % 7 == 0 or p[1] % 7 == 0} <= probes and all(a % 7 == 0 or b % 7 == 0 for a, b in probes)
+    cross = {(r["a"], r["b"]) for r in O.candidate_pairs(sets, t, 3, role=F.when(F.col("id") < 30, 1).otherwise(2)).collect()}
+    assert {p for p in want if p[0] < 30 <= p[1]} <= cross and all(a < 30 <= b for a, b in cross)
+
+
+def test_overlap_and_signature_in_numpy():
+    texts = ["ACDACDACD", "ACDACD", "", "AC", "AC\nDACD", "\u00e9\u4e00ACDAC", "DACDACDAC", "ACD\u2028ACD", "ACDxACD"]
+    grams = lambda s, k: Counter(g for g in (s[i:i + k] for i in range(len(s) - k + 1)) if not set(g) & set(O._LINE_ENDS))
+    for k in (3, 9):
+        for a, b in itertools.product(texts, texts):
+            assert O.overlap(a, b, k) == sum((grams(a, k) & grams(b, k)).values())
+            assert (O.signature(a, k) == O.signature(b, k)) == (grams(a, k) == grams(b, k)), (a, b, k)
+
+
 def test_max_cross_jaccard(spark):
     seqs = peptides(70, 11, copies=0.2)
     rows = spark.createDataFrame(list(enumerate(seqs)), "id long, key string")
