@@ -81,3 +81,10 @@ def test_pieces_of_texts(spark, tmp_path):
     assert raw == {i: keep(s, B.LETTERS + "0123456789 ") for i, s in pieces.items()}
     cut = {r["row_id"]: r["key"] for r in B.segments(spark, str(tmp_path)).collect()}
     assert cut == {i: keep(s, B.LETTERS).upper() for i, s in pieces.items() if keep(s, B.LETTERS)}
+
+
+def test_both_ways_give_the_same_vectors(spark):
+    seqs, mols = frame(spark, PLAIN), frame(spark, ["", "BrCC[NH3+]", "https://a.b/c", None])
+    for df, block, out in ((seqs, X.sequence_vector, "features"), (mols, X.fingerprint_block, "fingerprint")):
+        one, two = ({r["i"]: r[out] for r in block(df, in_jvm=way).collect()} for way in (False, True))
+        assert one == two
