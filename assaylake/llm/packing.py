@@ -25,17 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import WORD_END, default_vocabulary
-from .common import slices, stored, text_of
+from .common import U, combine, mix, slices, stored, text_of
 
 CAPACITY, END_ID = 4096, 1
 SHARD_ITEMS, ISLANDS, EPOCHS = 8192, 2, 2
 POPULATION, GENERATIONS = 6, 10
 CACHE_CHUNKS = 500_000
 #: ASCII marks that never join a word of letters before them.
-MARKS = ".,;:!?%#"
+MARKS = ".,;:!?%#*$&@+=~^_-/|)]}>\""
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: Latin-1 letters in lower case, its blanks beyond ASCII as a blank.
 _LOWER = bytes(32 if b in (0x85, 0xA0) else chr(b).lower().encode("latin-1")[0] for b in range(256))
+_SOLID = np.array([not bytes([b]).isspace() for b in range(256)])
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a chunk that are compared as two words.
+SHORT = 16
 _ELITE = "shard long, island int, uids binary, lengths binary, bins binary, n_bins long, fitness double, generations int"
 
 
@@ -43,8 +48,9 @@ class ChunkIds:
     """Token ids by the tokenizers library, for chunks between blanks that are not known yet.
 
     No token crosses a blank, so the ids of a text are those of its chunks. A text of Latin-1 letters is lowered as a whole, as the library does letter by
-    letter, and its chunks are bytes. A new chunk of letters with marks behind it is its word and its marks; new words go to the library in one text,
-    whose ids part at the tokens that end a word. Two generations of CACHE_CHUNKS chunks are kept.
+    letter, and its chunks are bytes; numpy finds the different chunks of many such texts, so that only these are looked up. A new chunk of letters with marks
+    behind it is its word and its marks; new words go to the library in one text, whose ids part at the tokens that end a word. Two generations of CACHE_CHUNKS
+    chunks are kept.
     """
 
     def __init__(self, path: str):
@@ -104,30 +110,83 @@ class ChunkIds:
             new[c] = new[low] + new[tail]
 
     @staticmethod
-    def _split(text: str) -> list:
+    def _lowered(text: str) -> bytes | None:
+        """A text of Latin-1 letters in lower case, None for any other; special tokens count as they are written."""
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
-            raw = None
-        if raw is None or b"<|" in raw:  # special tokens count as they are written
-            # control characters part words for str.split only: such texts are one chunk
-            return [text] if _CONTROL.search(text) else text.split()
-        return raw.translate(_LOWER).split()
+            return None
+        return None if b"<|" in raw else raw.translate(_LOWER)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit words."""
-        split = [self._split(t) for t in texts]
-        fresh = set(itertools.chain.from_iterable(split)).difference(self.new)
+    def _learn(self, chunks) -> None:
+        """Makes sure that the ids of all given chunks are in `new`."""
+        fresh = set(chunks).difference(self.new)
         again = fresh & self.old.keys()
         self.new.update(zip(again, map(self.old.__getitem__, again)))
         self._find(list(fresh - again))
+
+    def _of_lowered(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of texts of bytes, each different chunk looked up once."""
+        text = b" ".join(raws) + b" " * (SHORT + 1)  # two words can be read from any place
+        data = np.frombuffer(text, np.uint8)
+        starts, ends, group, firsts = different_chunks(data)
+        chunks = [text[a:b] for a, b in zip(starts[firsts].tolist(), ends[firsts].tolist())]
+        ids = list(map(self.new.get, chunks))
+        unknown = [k for k, i in enumerate(ids) if i is None]
+        self._learn([chunks[k] for k in unknown])
+        for k in unknown:
+            ids[k] = self.new[chunks[k]]
+        held = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = held[group]
+        before = np.concatenate(([0], np.cumsum(n)))
+        at = np.arange(before[-1]) + np.repeat((np.cumsum(held) - held)[group] - before[:-1], n)
+        out = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        begin = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        cuts = (4 * before[np.searchsorted(starts, begin)]).tolist()
+        return [out[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit words."""
+        raws = [self._lowered(t) for t in texts]
+        plain = iter(self._of_lowered([r for r in raws if r is not None]))
+        # control characters part words for str.split only: such texts are one chunk
+        split = [None if r is not None else [t] if _CONTROL.search(t) else t.split() for t, r in zip(texts, raws)]
+        self._learn(itertools.chain.from_iterable(filter(None, split)))
         known = self.new.__getitem__
-        out = [b"".join(map(known, chunks)) for chunks in split]
+        out = [next(plain) if chunks is None else b"".join(map(known, chunks)) for chunks in split]
         if len(self.new) > CACHE_CHUNKS:
             self.old, self.new = self.new, {}
         return out
 
 
+def different_chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks between blanks of bytes that end in SHORT + 1 blanks: starts, ends, the group of each, and one chunk of each group. A group's chunks are equal.
+
+    Chunks meet by a hash of their first SHORT bytes and their size; longer ones are numbered beforehand. What a hash brings together is compared, and a
+    chunk that differs from its group's first is a group of its own.
+    """
+    edges = np.flatnonzero(np.diff(_SOLID[data], prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    size = ends - starts
+    word = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    head = word[starts] & _FIRST[np.minimum(size, 8)]
+    tail = word[starts + 8] & _FIRST[np.clip(size - 8, 0, 8)]
+    numbers: dict[bytes, int] = {}
+    for k in np.flatnonzero(size > SHORT).tolist():
+        head[k] = numbers.setdefault(data[starts[k]:ends[k]].tobytes(), len(numbers))
+        tail[k] = 0
+    code = combine(head, tail) ^ mix(size.astype(U))
+    order = np.argsort(code)
+    new = np.concatenate(([True], np.diff(code[order]) != 0))[:len(order)]
+    firsts = order[new]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    like = firsts[group]
+    odd = np.flatnonzero((head != head[like]) | (tail != tail[like]) | (size != size[like]))
+    group[odd] = len(firsts) + np.arange(len(odd))
+    return starts, ends, group, np.append(firsts, odd)
+
+
 _LIBRARIES: dict[str, ChunkIds] = {}
 
 

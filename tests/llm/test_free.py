@@ -257,3 +257,40 @@ def test_chunks_equal_the_library_on_odd_letters(library):
     for k in range(0, len(texts), 400):
         for t, ids in zip(texts[k:k + 400], chunks(texts[k:k + 400])):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_marks_behind_a_word_are_no_new_chunk(library, monkeypatch):
+    """op8_genetic_packing: a word before stars, dollars or brackets went to the library anew with every mark, at three times the time."""
+    marks = [m + n for m in packing.MARKS for n in ("", m + m, ".", "'")]
+    texts = [f"{w}{m} {w}" for w in ("Word", "Été", "x", "漢字", "don't", "É\u0301", "a1") for m in marks] + ["x<| y", "x<|endoftext|>.", "x=\u0338 y", "x^'s"]
+    chunks, sent = packing.ChunkIds(bpe.default_vocabulary()), []
+    whole = chunks._chunks
+    monkeypatch.setattr(chunks, "_chunks", lambda c: sent.extend(c) or whole(c))
+    for t, ids in zip(texts, chunks(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert not any(c in (f"Word{m}", f"word{m}") for c in sent for m in packing.MARKS)
+
+
+@pytest.mark.parametrize("hashes", ["good", "all alike"])
+def test_different_chunks_are_told_apart_whatever_their_hash(monkeypatch, hashes):
+    import random
+    rng = random.Random(3)
+    if hashes == "all alike":
+        monkeypatch.setattr(packing, "combine", lambda a, b: np.zeros(len(a), np.uint64))
+        monkeypatch.setattr(packing, "mix", lambda a: np.zeros(len(a), np.uint64))
+    words = [b"a", b"a\x00", b"a\x00\x00", b"\xff" * 8, b"\xff" * 16, b"\xff" * 17, b"x" * 15, b"x" * 16, b"x" * 17, b"x" * 5000, b"ab" * 8 + b"c", b"\x00", b"\x01" + b"\x00" * 7]
+    for count in (0, 1, 400):
+        text = b"".join(rng.choice(words) + rng.choice([b" ", b"\t\n", b"\x0b  \x0c\r"]) for _ in range(count)) + b" " * (packing.SHORT + 1)
+        starts, ends, group, firsts = packing.different_chunks(np.frombuffer(text, np.uint8))
+        assert [text[a:b] for a, b in zip(starts, ends)] == text.split()
+        assert [text[starts[k]:ends[k]] for k in firsts[group]] == text.split()
+        if hashes == "good":
+            assert len(firsts) == len(set(text.split()))
+
+
+def test_ids_of_texts_side_by_side(library):
+    texts = ["", " ", "a b", "\n", "漢 a", "a\x1cb c", "A B", "x" * 40 + " y " + "x" * 40, "<|endoftext|> a", "é\xa0É\x85a", "b" * 16, "  b", "\x00 a\x00"]
+    for some in (texts, texts[::-1], [""], ["", ""], [], ["漢"]):
+        chunks = packing.ChunkIds(bpe.default_vocabulary())
+        for _ in range(2):
+            assert [np.frombuffer(i, "<u4").tolist() for i in chunks(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
