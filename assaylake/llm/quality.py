@@ -4,9 +4,12 @@ All trusted documents are used: one half, drawn by id, gives trigram counts, the
 counts, discounts and back-off weights are groupings of them. Each stored n-gram then has one number, such that the log
 probability of a text is the sum of the numbers of its words, bigrams and trigrams that are stored: a word carries its own
 probability and its weight as a context, a bigram or trigram the gain over what the shorter ones say. So
-a text is scored by a join of its n-gram counts with the model, cut into SHARDS by hash. A bit filter of fixed size tells a task which n-grams
-can be stored, so the others, which add nothing, don't move. Texts are packed per shard and, so that no group outgrows a
-task, per slice of texts; each slice reads the shards of the model.
+a text is scored by a join of its n-gram counts with the model, cut into shards by hash. A bit filter of fixed size tells a task which n-grams
+can be stored, so the others, which add nothing, don't move.
+
+Disk is what limits this, so no step moves everything: trigrams are counted in passes by context, weighed in parts by their last two words, and texts are scored
+in waves; what a step has moved, and parts that no later step reads, are removed as it ends. The model is written once, packed, in a bucket per shard, so that
+waves read it without moving it. Texts ask for each n-gram once per batch, with the list of those that hold it.
 
 The mean log loss is drawn towards the language's by PRIOR_TOKENS tokens, as short texts say little. A document is rejected above the
 QUANTILE of those trusted documents of its language that the model was not trained on. The mean hides repetition, as frequent words are
@@ -25,21 +28,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import U, by_shard, combine, mix, pack, slices, stored, text_key, text_of, unpack, word_hashes
+from .common import U, combine, discard, in_buckets, in_parts, mix, slices, stored, text_key, text_of, word_hashes
 
 TRAIN_PER_LANG, TRAIN_DOCS, LANG_FLOOR = 300, 1000, 100
 QUANTILE, PRIOR_TOKENS, SHARDS = 0.99, 30, 16
 #: Words within which a repeated one counts: a share over whole texts would fall with their length.
 WINDOW = 64
-#: Texts of one slice: what a task joins with a shard of the model.
-SLICE_BYTES = 256 << 20
+#: Trigrams and bigrams are weighed in up to PARTS parts, one for each PART_BYTES of counted text, and counted in as many passes, up to PASSES; texts are asked in up to WAVES waves, one for each
+#: WAVE_BYTES, and more if one would have over SLICE_BYTES. What is on disk at once follows from these.
+PARTS, PART_BYTES, PASSES = 12, 2 << 20, 3
+WAVES, WAVE_BYTES, SLICE_BYTES = 8, 16 << 20, 4 << 30
+#: Counted text for each shard beyond the SHARDS that there are at least. Numbers of shards are powers of two.
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 1024
+#: Tasks that deal the contexts out to the parts.
+SCAN_TASKS = 48
+#: Stored n-grams that are sorted and packed together.
+BLOCK_KEYS = 1 << 18
 FILTER_BITS = 27
-#: Bytes of a key that move: with the shard 44 bits, so of a million stored n-grams none is expected to share a key with another.
-_KEY_BYTES = 5
-_MOST = 65535
+#: Bytes of a key that are stored and move: with the shard 52 bits, so of 50 million stored n-grams none is expected to share a key with another.
+_KEY_BYTES = 6
 _BEGIN, _END = U(0x5D0C3A1B2E4F6071), U(0x1F3E5D7C9BAA8866)
+_OF_CONTEXT = ["total", "once", "twice", "all"]
 _KINDS = np.array([0x11, 0x22, 0x33], np.uint64) * U(0x9E3779B97F4A7C15)
 
 
@@ -136,19 +147,58 @@ def training_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return docs.select("doc_id", _language(F.col("lang")).alias("lang"), text_of("text").alias("text")).join(chosen, "doc_id", "left_semi")
 
 
-def trigrams(texts: DataFrame) -> DataFrame:
-    """lang, u, v, w, c: counted trigrams of word hashes."""
+def trigrams(texts: DataFrame, n_parts: int = 1) -> DataFrame:
+    """lang, u, v, w, c: counted trigrams of word hashes, with the total of their context (u, v), the trigrams of it that were seen once and twice,
+    and all of them (total, once, twice, all); first is told of one trigram of each context. Written in parts by their last two words."""
+    passes, found = min(n_parts, PASSES), None
+    for k in range(passes):
+        found = in_parts(_counted(texts, k, passes).withColumn("part", _part("v", "w", n_parts)).sortWithinPartitions("part", "u", "v", "w"), "quality-trigrams", found)
+    return found
+
+
+def _counted(texts: DataFrame, nth: int, passes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             langs = batch.column("lang").to_pylist()
             words, offsets = padded(batch.column("text").to_pylist(), _lang_hash(langs))
             text = np.repeat(np.arange(len(langs)), np.diff(offsets))
             tri = np.flatnonzero(np.arange(len(words)) - offsets[:-1][text] >= 2)
-            yield pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(text[tri])), _long(words[tri - 2]), _long(words[tri - 1]), _long(words[tri])],
-                                             names=["lang", "u", "v", "w"])
-
-    found = texts.select("lang", "text").mapInArrow(run, "lang string, u long, v long, w long")
-    return stored(found.groupBy("lang", "u", "v", "w").agg(F.count(F.lit(1)).alias("c")), "quality-trigrams")
+            context = combine(words[tri - 2], words[tri - 1])
+            own = (context >> U(40)) % U(passes) == U(nth)
+            tri, context = tri[own], context[own]
+            _, first, times = np.unique(combine(context, words[tri]), return_index=True, return_counts=True)
+            tri = tri[first]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(text[tri])), _long(words[tri - 2]), _long(words[tri - 1]), _long(words[tri]),
+                                              pa.array(times)], names=["lang", "u", "v", "w", "c"])
+
+    found = texts.select("lang", "text").mapInArrow(run, "lang string, u long, v long, w long, c long")
+    # one shuffle, by context, serves the counts and the sums of contexts
+    counted = found.repartition("u", "v").groupBy("lang", "u", "v", "w").agg(F.sum("c").alias("c"))
+    of = Window.partitionBy("u", "v")
+    c = F.col("c")
+    return counted.select("*", F.sum(c).over(of).alias("total"), F.sum((c == 1).cast("long")).over(of).alias("once"),
+                          F.sum((c == 2).cast("long")).over(of).alias("twice"), F.count(c).over(of).alias("all"),
+                          (F.col("w") == F.min("w").over(of)).alias("first"))
+
+
+def _part(a: str, b: str, n_parts: int) -> Column:
+    return F.pmod(F.xxhash64(a, b), F.lit(n_parts)).cast("int")
+
+
+def pairs_of(tri: DataFrame, n_parts: int = 1) -> DataFrame:
+    """lang, a, b of every bigram, n: the different words before it, and what `trigrams` tells of it as a context; n or total is 0 if it is none.
+    Made part after part, so that a part of it is moved at once."""
+    last = tri.select("lang", F.col("v").alias("a"), F.col("w").alias("b"), F.lit(1).alias("n"), *[F.lit(0).cast("long").alias(x) for x in _OF_CONTEXT], "part")
+    context = tri.where("first").select("lang", F.col("u").alias("a"), F.col("v").alias("b"), F.lit(0).alias("n"), *_OF_CONTEXT, _part("u", "v", n_parts).alias("part"))
+    # a scan of many small files has a task for each few of them; each task writes every part
+    context = in_parts(context.coalesce(SCAN_TASKS).sortWithinPartitions("part", "a", "b"), "quality-contexts")
+    found = None
+    for k in range(n_parts):
+        both = last.where(F.col("part") == k).unionByName(context.where(F.col("part") == k))
+        both = both.groupBy("lang", "a", "b").agg(F.sum("n").alias("n"), *[F.max(x).alias(x) for x in _OF_CONTEXT]).withColumn("part", F.lit(k))
+        found = in_parts(both.sortWithinPartitions("a", "b"), "quality-pairs", found)
+        discard(context, k)
+    return found
 
 
 def discounts(counted: DataFrame) -> list[float]:
@@ -167,74 +217,146 @@ def _discount(c: Column, d: list[float]) -> Column:
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def _contexts(counted: DataFrame, by: list[str], d: list[float]) -> DataFrame:
-    """Per context: the total count and the weight left to shorter contexts."""
-    return counted.groupBy(*by).agg(F.sum("c").alias("total"), (F.sum(_discount(F.col("c"), d)) / F.sum("c")).alias("back"))
+def _left(d: list[float]) -> Column:
+    """What the discounts of a context's n-grams come to."""
+    return d[0] * F.col("once") + d[1] * F.col("twice") + d[2] * (F.col("all") - F.col("once") - F.col("twice"))
+
 
+def _packed_model(shards: int):
+    """Of rows in the order of their bigram, the bigram's own first: the keys and numbers of all n-grams, packed by shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = np.nan, []
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            u, a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("u", "a", "b"))
+            x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            lower = np.append(last, x)[np.maximum.accumulate(np.where(kind == 2, np.arange(1, len(x) + 1), 0))]
+            last = lower[-1] if len(lower) else last
+            two = combine(a, b)
+            keys = np.where(kind == 1, mix(a + _KINDS[0]), np.where(kind == 2, mix(two + _KINDS[1]), mix(combine(combine(u, a), b) + _KINDS[2])))
+            values = np.where(kind == 3, np.log1p(np.where(kind == 3, x, 0.0) / np.where(kind == 3, lower, 1.0)), y)
+            held.append((keys, values))
+            if sum(len(k) for k, _ in held) >= BLOCK_KEYS:
+                yield _block(held, shards)
+                held = []
+        if held:
+            yield _block(held, shards)
 
-_KEYS = {1: (lambda w: mix(w + _KINDS[0]), ["w"]), 2: (lambda v, w: mix(combine(v, w) + _KINDS[1]), ["v", "w"]),
-         3: (lambda u, v, w: mix(combine(combine(u, v), w) + _KINDS[2]), ["u", "v", "w"])}
+    return run
 
 
-def _keyed(values: DataFrame, order: int) -> DataFrame:
-    make, names = _KEYS[order]
+def _block(held: list[tuple[np.ndarray, np.ndarray]], shards: int) -> pa.RecordBatch:
+    keys, values = (np.concatenate(x) for x in zip(*held))
+    keys = _coded(keys, shards)
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    group, starts = np.unique(keys >> U(8 * _KEY_BYTES), return_index=True)
+    ends = np.append(starts[1:], len(keys))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(group.astype(np.int32)), pa.array(ends - starts), pa.array([squeezed(_steps(_low(keys[i:j]))) for i, j in zip(starts, ends)], pa.binary()),
+         pa.array([squeezed(values[i:j]) for i, j in zip(starts, ends)], pa.binary())], names=["shard", "n", "keys", "numbers"])
+
+
+def _coded(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard, from the highest bits of a key, above the low bits that are kept of it; `shards` is a power of two, 2 at least."""
+    return keys >> U(65 - shards.bit_length()) << U(8 * _KEY_BYTES) | _low(keys)
+
+
+def _low(keys: np.ndarray) -> np.ndarray:
+    return keys & U((1 << 8 * _KEY_BYTES) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = make(*(batch.column(c).to_numpy().view(np.uint64) for c in names))
-            yield pa.RecordBatch.from_arrays([_long(keys), batch.column("value")], names=["key", "value"])
 
-    return values.select(*names, "value").mapInArrow(run, "key long, value double")
+def _steps(x: np.ndarray) -> np.ndarray:
+    """What each number adds to the one before, the first to 0; modulo 2**64, so any order is kept."""
+    return np.diff(x, prepend=U(0))
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """An array as compressed bytes, all first bytes before all second ones."""
+    x = np.ascontiguousarray(x)
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unsqueezed(cell: bytes, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    data = pa.decompress(cell, decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
 def fitted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, value) of every stored n-gram, and per language the loss of an unknown word (lang, unknown)."""
-    tri = trigrams(texts)
-    bi = stored(tri.groupBy("lang", "v", "w").agg(F.count(F.lit(1)).alias("c")), "quality-bigrams")
-    uni = stored(bi.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")), "quality-words")
-    d3, d2, d1 = discounts(tri), discounts(bi), discounts(uni)
+    """The model, (shard, n, keys, numbers) with n stored n-grams a row, and per language the loss of an unknown word (lang, unknown)."""
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n_parts, shards = min(PARTS, 1 + total // PART_BYTES), min(max(SHARDS, 1 << (total // SHARD_BYTES).bit_length()), MOST_SHARDS)
+    tri = trigrams(texts, n_parts)
+    pairs = pairs_of(tri, n_parts)
+    seen = pairs.where("n > 0")
+    uni = stored(seen.groupBy("lang", F.col("b").alias("w")).agg(F.count(F.lit(1)).alias("c")), "quality-words")
+    d3, d2, d1 = discounts(tri), discounts(seen.select(F.col("n").alias("c"))), discounts(uni)
     langs = uni.groupBy("lang").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("words"), F.sum(_discount(F.col("c"), d1)).alias("left"))
     langs = stored(langs.select("lang", "all", (F.col("left") / F.col("all") / (F.col("words") + 1)).alias("p0")), "quality-langs")
-    c = F.col("c")
-    p1 = uni.join(langs, "lang").select("lang", "w", ((c - _discount(c, d1)) / F.col("all") + F.col("p0")).alias("p1"), "p0")
-    ctx1 = _contexts(bi, ["lang", "v"], d2)
-    p2 = bi.join(ctx1, ["lang", "v"]).join(p1.select("lang", "w", "p1"), ["lang", "w"])
-    p2 = stored(p2.select("lang", "v", "w", ((c - _discount(c, d2)) / F.col("total") + F.col("back") * F.col("p1")).alias("p2"),
-                          F.col("back").alias("back1"), "p1"), "quality-p2")
-    ctx2 = _contexts(tri, ["lang", "u", "v"], d3)
-    p3 = tri.join(ctx2, ["lang", "u", "v"]).join(p2.select("lang", "v", "w", "p2"), ["lang", "v", "w"])
-    p3 = p3.select("u", "v", "w", F.log(((c - _discount(c, d3)) / F.col("total") + F.col("back") * F.col("p2")) / F.col("back") / F.col("p2")).alias("value"))
-    words = p1.select("w", F.log(F.col("p1") / F.col("p0")).alias("value")).unionByName(ctx1.select(F.col("v").alias("w"), F.log("back").alias("value")))
-    pairs = p2.select("v", "w", F.log(F.col("p2") / F.col("back1") / F.col("p1")).alias("value")).unionByName(
-        ctx2.select(F.col("u").alias("v"), F.col("v").alias("w"), F.log("back").alias("value")))
-    model = _keyed(words.groupBy("w").agg(F.sum("value").alias("value")), 1)
-    model = model.unionByName(_keyed(pairs.groupBy("v", "w").agg(F.sum("value").alias("value")), 2)).unionByName(_keyed(p3, 3))
-    return stored(model, "quality-model"), langs.select("lang", F.log("p0").alias("unknown"))
-
-
-def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (keys & U((1 << FILTER_BITS) - 1)).astype(np.int64), ((keys >> U(32)) & U((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
-def key_filter(model: DataFrame) -> np.ndarray:
-    """A bit filter of 2**FILTER_BITS bits of the model's keys: 16 MB whatever the input; with a larger model it lets more n-grams pass that are not stored."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            for at in _probes(batch.column("key").to_numpy().view(np.uint64)):
-                bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
-
-    return np.frombuffer(model.select("key").coalesce(1).mapInArrow(run, "bits binary").first()["bits"], np.uint8)
+    c, n = F.col("c"), F.col("n")
+    p1 = uni.join(langs, "lang").select("w", ((c - _discount(c, d1)) / F.col("all") + F.col("p0")).alias("p1"), "p0")
+    ctx1 = seen.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("total1"), (F.sum(_discount(n, d2)) / F.sum("n")).alias("back1"))
+    words = stored(p1.join(ctx1, "w", "full"), "quality-weights")
+    none = F.lit(0).cast("long")
+    rows = words.select(F.lit(1).alias("kind"), none.alias("u"), F.col("w").alias("a"), none.alias("b"), F.lit(0.0).alias("x"),
+                        (F.coalesce(F.log(F.col("p1") / F.col("p0")), F.lit(0.0)) + F.coalesce(F.log("back1"), F.lit(0.0))).alias("y"))
+    model = by_shard_stored(rows, shards)
+    for k in range(n_parts):
+        # each bigram's probability, and the weight that it leaves as a context
+        two = pairs.where(F.col("part") == k).join(words.select(F.col("w").alias("a"), "total1", "back1"), "a", "left")
+        two = two.join(words.select(F.col("w").alias("b"), "p1"), "b", "left")
+        p2 = F.when(n > 0, (n - _discount(n, d2)) / F.col("total1") + F.col("back1") * F.col("p1"))
+        own = F.when(n > 0, F.log(p2 / F.col("back1") / F.col("p1"))).otherwise(0.0) + F.when(F.col("total") > 0, F.log(_left(d3) / F.col("total"))).otherwise(0.0)
+        two = two.select(F.lit(2).alias("kind"), none.alias("u"), "a", "b", F.coalesce(p2, F.lit(1.0)).alias("x"), own.alias("y"))
+        three = tri.where(F.col("part") == k).select(F.lit(3).alias("kind"), "u", F.col("v").alias("a"), F.col("w").alias("b"),
+                                                     ((c - _discount(c, d3)) / _left(d3)).alias("x"), F.lit(0.0).alias("y"))
+        model = by_shard_stored(two.unionByName(three).repartition("a", "b").sortWithinPartitions("a", "b", "kind"), shards, model)
+        discard(tri, k)
+        discard(pairs, k)
+    return model, langs.select("lang", F.log("p0").alias("unknown"))
+
+
+def by_shard_stored(rows: DataFrame, shards: int, table: DataFrame | None = None) -> DataFrame:
+    packed = rows.mapInArrow(_packed_model(shards), "shard int, n long, keys binary, numbers binary")
+    return in_buckets(packed.repartition(shards, "shard"), "quality_model", shards, "shard", table)
+
+
+def _probes(coded: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a key, both in its shard's share of the filter: the lowest and the highest that are kept of it."""
+    width = FILTER_BITS + 1 - shards.bit_length()
+    base, low = (coded >> U(8 * _KEY_BYTES)) << U(width), _low(coded)
+    return (base + (low & U((1 << width) - 1))).astype(np.int64), (base + (low >> U(8 * _KEY_BYTES - width))).astype(np.int64)
+
+
+def key_filter(model: DataFrame, shards: int) -> np.ndarray:
+    """A bit filter of 2**FILTER_BITS bits of the model's keys, a share of it for each shard: 16 MB whatever the input; with a larger model it lets more
+    n-grams pass that are not stored."""
+    own = (1 << FILTER_BITS) // shards
+
+    def run(key, part):
+        bits, shard = np.zeros(own, bool), key[0].as_py()
+        for cell, n in zip(part["keys"].to_pylist(), part["n"].to_pylist()):
+            for at in _probes(np.cumsum(unsqueezed(cell, n, np.uint64)) | U(shard << 8 * _KEY_BYTES), shards):
+                bits[at - shard * own] = True
+        return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((shards, own // 8), np.uint8)
+    for row in model.select("shard", "n", "keys").groupBy("shard").applyInArrow(run, "shard int, bits binary").toLocalIterator():
+        out[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
 
 
 # ---- scores ---------------------------------------------------------------------------------------------------
 
-_PACKED = "shard int, slice long, texts binary, tokens binary, distinct binary, runs binary, keys binary, times binary"
+_PACKED = "shard int, sizes binary, texts binary, tokens binary, distinct binary, steps binary, times binary, who binary"
 
 
-def _asked(texts: DataFrame, bits, n_slices: int) -> DataFrame:
-    """The texts' n-grams that can be stored, packed by shard and slice; a text's numbers of tokens and of distinct words go with each of its runs."""
+def _asked(texts: DataFrame, bits, shards: int) -> DataFrame:
+    """The texts' n-grams that can be stored, packed by shard: each n-gram of some texts once, with those of them that hold it and how often.
+    The numbers of tokens and of distinct words go with a text's first shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.value
         for batch in slices(batches, "text"):
@@ -243,88 +365,94 @@ def _asked(texts: DataFrame, bits, n_slices: int) -> DataFrame:
             key = batch.column("key").to_numpy()
             words, offsets = padded(batch.column("text").to_pylist(), _lang_hash(batch.column("lang").to_pylist()))
             keys, text = grams(words, offsets)
-            a, b = _probes(keys)
+            keys = _coded(keys, shards)
+            a, b = _probes(keys, shards)
             hit = ((held[a >> 3] >> (a & 7).astype(np.uint8)) & (held[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
             keys, text = keys[hit], text[hit]
-            group = (keys >> U(60)).astype(np.int64) * n_slices + (key[text].view(np.uint64) % U(n_slices)).astype(np.int64)
-            order = np.lexsort((keys, text, group))
-            keys, text, group = keys[order], text[order], group[order]
-            new = np.concatenate(([True], (np.diff(keys) != 0) | (np.diff(text) != 0) | (np.diff(group) != 0)))[:len(keys)]
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(keys)))
-            # a count beyond 16 bits is several entries
-            entries = -(-times // _MOST)
-            nth = np.arange(int(entries.sum())) - np.repeat(np.cumsum(entries) - entries, entries)
-            times = np.minimum(np.repeat(times, entries) - nth * _MOST, _MOST)
-            at = np.repeat(at, entries)
-            keys, text, group = keys[at], text[at], group[at]
-            run_new = np.concatenate(([True], (np.diff(text) != 0) | (np.diff(group) != 0)))[:len(keys)]
-            runs = np.flatnonzero(run_new)
-            lengths = np.diff(np.append(runs, len(keys)))
-            groups, starts, _ = by_shard(group[runs])
-            if not len(groups):
+            if not len(keys):
                 continue
-            entry = np.append(runs, len(keys))[starts]
+            order = np.lexsort((text, keys))
+            keys, text = keys[order], text[order]
+            new = np.concatenate(([True], np.diff(keys) != 0))
+            at = np.flatnonzero(new | np.concatenate(([True], np.diff(text) != 0)))
+            times = np.diff(np.append(at, len(keys)))
+            keys, text, new = keys[at], text[at], new[at]
+            groups, starts = np.unique(keys >> U(8 * _KEY_BYTES), return_index=True)
             tokens, distinct = np.diff(offsets) - 2, distinct_words(words, offsets)
-            low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((groups // n_slices).astype(np.int32)), pa.array(groups % n_slices),
-                 pack(key[text[runs]], starts), pack(tokens[text[runs]].astype(np.int32), starts),
-                 pack(distinct[text[runs]].astype(np.int32), starts), pack(lengths.astype(np.int32), starts),
-                 _bytes(low, entry), pack(times.astype(np.uint16), entry)],
-                names=["shard", "slice", "texts", "tokens", "distinct", "runs", "keys", "times"])
+            rows, told = {c: [] for c in ("sizes", "texts", "tokens", "distinct", "steps", "times", "who")}, np.zeros(len(key), bool)
+            for i, j in zip(starts, np.append(starts[1:], len(keys))):
+                here, who = np.unique(text[i:j], return_inverse=True)
+                one = np.flatnonzero(new[i:j])
+                # per n-gram the step of its key; per pair of n-gram and text the step from the text before, from 0 with a new n-gram
+                step = np.diff(who, prepend=0) + 1
+                step[one] = who[one] + 1
+                step[one] *= -1  # the sign tells a new n-gram
+                rows["sizes"].append(np.array([len(here), len(one), j - i], np.int64).tobytes())
+                rows["texts"].append(squeezed(key[here]))
+                for name, x in (("tokens", tokens), ("distinct", distinct)):
+                    rows[name].append(squeezed(np.where(told[here], 0, x[here]).astype(np.int64)))
+                told[here] = True
+                rows["steps"].append(squeezed(_steps(_low(keys[i:j][one]))))
+                rows["times"].append(squeezed(times[i:j].astype(np.int64)))
+                rows["who"].append(squeezed(step.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(groups.astype(np.int32)), *[pa.array(x, pa.binary()) for x in rows.values()]], names=["shard", *rows])
 
     return texts.mapInArrow(run, _PACKED)
 
 
-def _bytes(rows: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Packs the low bytes of keys; the shard is their highest four bits."""
-    return pack(np.ascontiguousarray(rows).reshape(-1), np.asarray(offsets) * _KEY_BYTES)
-
-
 def _summed(key, asked, model):
-    """Partial log probabilities of the texts of a slice under one shard of the model."""
-    stored_keys = model["key"].to_numpy().view(np.uint64) & U((1 << 8 * _KEY_BYTES) - 1)
+    """Partial log probabilities of texts under one shard of the model."""
+    stored_keys = [np.cumsum(unsqueezed(cell, n, np.uint64)) for cell, n in zip(model["keys"].to_pylist(), model["n"].to_pylist())]
+    stored_keys = np.concatenate(stored_keys) if stored_keys else np.zeros(0, np.uint64)
+    values = [unsqueezed(cell, n, np.float64) for cell, n in zip(model["numbers"].to_pylist(), model["n"].to_pylist())]
     order = np.argsort(stored_keys)
-    stored_keys, values = stored_keys[order], model["value"].to_numpy()[order]
-    texts, tokens, distinct, runs = (unpack(asked[c], t) for c, t in (("texts", np.int64), ("tokens", np.int32), ("distinct", np.int32), ("runs", np.int32)))
-    low = unpack(asked["keys"], np.uint8).reshape(-1, _KEY_BYTES)
-    keys = np.zeros((len(low), 8), np.uint8)
-    keys[:, :_KEY_BYTES] = low
-    keys = keys.reshape(-1).view(np.uint64)
-    times = unpack(asked["times"], np.uint16)
-    part = np.zeros(len(keys))
-    if len(stored_keys):
-        at = np.minimum(np.searchsorted(stored_keys, keys), len(stored_keys) - 1)
-        part = np.where(stored_keys[at] == keys, values[at], 0.0) * times
+    stored_keys, values = stored_keys[order], np.concatenate(values)[order] if values else np.zeros(0)
+    found = []
+    for row in asked.to_pylist():
+        n_texts, n_keys, n = np.frombuffer(row["sizes"], np.int64)
+        keys, step = np.cumsum(unsqueezed(row["steps"], n_keys, np.uint64)), unsqueezed(row["who"], n, np.int32).astype(np.int64)
+        new = step < 0
+        nth = np.cumsum(new) - 1
+        # running sums, less what they were at the n-gram's first text
+        sums = np.cumsum(np.where(new, 0, step - 1))
+        who = sums - sums[new][nth] - step[new][nth] - 1
+        at = np.minimum(np.searchsorted(stored_keys, keys), max(len(stored_keys) - 1, 0))
+        value = np.where(stored_keys[at] == keys, values[at], 0.0) if len(stored_keys) else np.zeros(len(keys))
+        part = np.bincount(who, value[nth] * unsqueezed(row["times"], n, np.int64), minlength=n_texts)
+        found.append((unsqueezed(row["texts"], n_texts, np.int64), part, unsqueezed(row["tokens"], n_texts, np.int64), unsqueezed(row["distinct"], n_texts, np.int64)))
+    texts, parts, tokens, distinct = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64))
     # a text that came from several tasks counts once
-    sums = np.add.reduceat(part, np.concatenate(([0], np.cumsum(runs)[:-1]))) if len(runs) else np.zeros(0)
-    text, first = np.unique(texts, return_index=True)
-    return pa.table({"key": pa.array(text), "part": pa.array(sums[first]), "tokens": pa.array(tokens[first].astype(np.int64)),
-                     "distinct": pa.array(distinct[first].astype(np.int64))})
-
-
-def log_scores(texts: DataFrame, model: DataFrame, n_slices: int = 1) -> DataFrame:
-    """(key, gain, tokens, distinct) of texts (key, lang, text), stored: the log probability beyond that of unknown words only."""
-    bits = texts.sparkSession.sparkContext.broadcast(key_filter(model))
-    asked = _asked(texts, bits, n_slices)
-    shard = F.shiftrightunsigned("key", 60).cast("int")
-    each = model.select("key", "value", shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slices - 1).cast("long"))).alias("slice"))
-    parts = asked.groupBy("shard", "slice").cogroup(each.groupBy("shard", "slice")).applyInArrow(_summed, "key long, part double, tokens long, distinct long")
-    found = stored(parts.groupBy("key").agg(F.sum("part").alias("gain"), F.max("tokens").alias("tokens"), F.max("distinct").alias("distinct")), "quality-scores")
+    text, first, which = np.unique(texts, return_index=True, return_inverse=True)
+    most = lambda x: np.maximum.reduceat(x[np.argsort(which, kind="stable")], np.cumsum(np.bincount(which)) - np.bincount(which)) if len(text) else x
+    return pa.table({"key": pa.array(text), "part": pa.array(parts[first]), "tokens": pa.array(most(tokens)), "distinct": pa.array(most(distinct))})
+
+
+def log_scores(texts: DataFrame, model: DataFrame, waves: int = 1) -> DataFrame:
+    """(key, gain, tokens, distinct) of texts (key, lang, text), stored: the log probability beyond that of unknown words only.
+    The texts are asked in waves, so that a part of their n-grams is moved at once; the model, kept in a bucket per shard, isn't."""
+    shards = model.buckets
+    bits = texts.sparkSession.sparkContext.broadcast(key_filter(model, shards))
+    wave = F.pmod(F.xxhash64("lang", "text"), F.lit(waves))
+    found = None
+    for k in range(waves):
+        asked = _asked(texts.where(wave == k), bits, shards)
+        parts = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_summed, "key long, part double, tokens long, distinct long")
+        summed = parts.groupBy("key").agg(F.sum("part").alias("gain"), F.max("tokens").alias("tokens"), F.max("distinct").alias("distinct"))
+        found = in_parts(summed.withColumn("part", F.lit(k)), "quality-scores", found)
     bits.destroy()
-    return found
+    return found.drop("part")
 
 
 def scored(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR_TOKENS) -> DataFrame:
     """One row per document (doc_id, lang, text): doc_id, lang, text_key, tokens, perplexity, threshold, distinct_share, least_share, kept."""
     rows = docs.select("doc_id", "lang", text_of("text").alias("text"), _language(F.col("lang")).alias("l"))
     chosen = training_ids(docs, trusted, bounded=False)
-    model, langs = fitted(training_texts(docs, chosen))
     key = text_key(F.col("l"), F.col("text"))
     keys = stored(rows.select("doc_id", "lang", "l", key.alias("key"), F.octet_length("text").cast("long").alias("bytes")), "quality-keys")
     total = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    found = log_scores(rows.select(key.alias("key"), F.col("l").alias("lang"), "text"), model, max(1, -(-total // SLICE_BYTES)))
+    model, langs = fitted(training_texts(docs, chosen))
+    found = log_scores(rows.select(key.alias("key"), F.col("l").alias("lang"), "text"), model, max(min(WAVES, 1 + total // WAVE_BYTES), -(-total // SLICE_BYTES)))
+    discard(model)
     losses = keys.join(found, "key", "left").join(langs.withColumnRenamed("lang", "l"), "l", "left")
     tokens = F.coalesce("tokens", F.lit(0))
     losses = losses.withColumn("loss", -(F.coalesce("gain", F.lit(0.0)) + tokens * F.col("unknown")))
