@@ -3,6 +3,7 @@
 import hashlib
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from assaylake.llm import minhash, quality
 from assaylake.llm.common import stored, table
+from assaylake.session import ensure_checkpoint_dir
 
 
 def frame(spark, rows):
@@ -204,6 +206,36 @@ def test_counts_beyond_16_bits(spark):
         assert got[d] == pytest.approx(math.exp((-model.log(t) + 30 * mean) / (len(t.split()) + 31)), rel=1e-6)
 
 
+def test_parts_and_waves_give_the_plain_model_and_leave_no_n_grams(spark, monkeypatch):
+    # all trigrams, bigrams and the model stayed on disk before, and each step moved all of them
+    for name, value in {"PARTS": 3, "PART_BYTES": 200, "PASSES": 2, "WAVES": 3, "WAVE_BYTES": 500, "BLOCK_KEYS": 40, "SHARD_BYTES": 100}.items():
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(8)
+    words = ["w%d" % k for k in range(25)]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(1, 30)))), "en", 0) for i in range(50)] + [(100, "w1 w1 w1 w2 zz", "en", 0), (101, "w3 w4 w5", "en", 0), (102, "w3 w4 w5", "en", 0)]
+    docs, trusted = frame(spark, rows), spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    chosen = {r["doc_id"] for r in quality.training_ids(docs, trusted, bounded=False).collect()}
+    folder, before = Path(ensure_checkpoint_dir(spark).removeprefix("file:")), {t.name for t in spark.catalog.listTables()}
+    known = {*folder.rglob("*.parquet")}
+    got = {r["doc_id"]: r["perplexity"] for r in quality.scored(docs, trusted).collect()}
+    assert {t.name for t in spark.catalog.listTables()} == before
+    left = {p.relative_to(folder).parts[0].split("-")[1 if p.relative_to(folder).parts[0].startswith("quality-") else 0] for p in {*folder.rglob("*.parquet")} - known}
+    assert left and not left & {"trigrams", "bigrams", "contexts", "pairs", "p2", "model", "quality_model"}
+    model = Plain([t for d, t, *_ in rows if d in chosen])
+    rest = [t for d, t, *_ in rows if d < 40 and d not in chosen]
+    mean = -sum(map(model.log, rest)) / sum(len(t.split()) + 1 for t in rest)
+    for d, t, *_ in rows:
+        assert got[d] == pytest.approx(math.exp((-model.log(t) + 30 * mean) / (len(t.split()) + 31)), rel=1e-9)
+
+
+def test_squeezed_arrays_come_back():
+    rng = np.random.default_rng(9)
+    for x in (np.zeros(0, np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64), rng.normal(size=77), np.array([-3, 5], np.int32)):
+        assert np.array_equal(quality.unsqueezed(quality.squeezed(x), len(x), x.dtype), x)
+    keys = np.sort(rng.integers(0, 2**63, 1000).astype(np.uint64))
+    assert np.array_equal(np.cumsum(quality._steps(keys)), keys)
+
+
 def test_distinct_words_of_windows():
     texts = ["", "a", "a A b", "x " * 64 + "x y", " ".join("w%d" % (k % 100) for k in range(300))]
     words, offsets = quality.padded(texts, quality._lang_hash(["en"] * len(texts)))
