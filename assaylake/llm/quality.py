@@ -38,8 +38,8 @@ QUANTILE, PRIOR_TOKENS, SHARDS = 0.99, 30, 16
 WINDOW = 64
 #: Trigrams and bigrams are weighed in up to PARTS parts, one for each PART_BYTES of counted text, and counted in as many passes, up to PASSES; texts are asked in up to WAVES waves, one for each
 #: WAVE_BYTES, and more if one would have over SLICE_BYTES. What is on disk at once follows from these.
-PARTS, PART_BYTES, PASSES = 12, 2 << 20, 3
-WAVES, WAVE_BYTES, SLICE_BYTES = 8, 16 << 20, 4 << 30
+PARTS, PART_BYTES, PASSES = 8, 2 << 20, 2
+WAVES, WAVE_BYTES, SLICE_BYTES = 4, 16 << 20, 4 << 30
 #: Counted text for each shard beyond the SHARDS that there are at least. Numbers of shards are powers of two.
 SHARD_BYTES, MOST_SHARDS = 32 << 20, 1024
 #: Tasks that deal the contexts out to the parts.
